@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import line_dedup, mixing, quality
+from quarry.llm import decontaminate, html_text, line_dedup, mixing, quality, quotes, secrets, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_quotes": quotes.op3_quotes,
     "op4_mixing": mixing.op4_mixing,
+    "op7_secrets": secrets.op7_secrets,
+    "op8_html_text": html_text.op8_html_text,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES = {
