@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, html_text, line_dedup, mixing, quality, quotes, secrets, substring_dedup, toxicity
+from quarry.llm import decontaminate, html_text, line_dedup, mixing, near_dedup, quality, quotes, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quotes": quotes.op3_quotes,
     "op4_mixing": mixing.op4_mixing,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_secrets": secrets.op7_secrets,
     "op8_html_text": html_text.op8_html_text,
