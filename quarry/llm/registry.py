@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quarry.llm import decontaminate, html_text, line_dedup, mixing, near_dedup, quality, quotes, secrets, substring_dedup, toxicity
 
 QUERIES = {
@@ -15,8 +16,11 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
