@@ -24,7 +24,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the counts or diverge from their language go."""
-    return _columns(quality.quality_rules(docs).where("kept"))
+    return _columns(quality.quality_rules(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

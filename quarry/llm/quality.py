@@ -142,17 +142,28 @@ def judge(measured: DataFrame, refs: DataFrame, far_classes: float = FAR_CLASSES
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``quality``, the verdict's parts and ``kept``."""
-    measured = features(docs)
+def measure(docs: DataFrame) -> DataFrame:
+    """Features of all documents, written once: references and verdicts both read them."""
+    row = F.xxhash64("lang", "text").alias("row")
+    return cut(features(docs.select("doc_id", "lang", "text", row)).drop("text"))
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``lang``, ``row`` (a hash of lang and text), ``quality`` and the verdict's parts."""
+    measured = measure(docs)
     return judge(measured, cut(references(measured)))
 
 
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass. Rejected rows are few and small, so where their
+    table's checked size allows, Spark broadcasts it and leaves the texts in place."""
+    rejected = cut(verdicts(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct())
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["lang"], docs["text"]) == F.col("_row")), "left_anti")
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    measured = cut(features(docs).drop("text"))
-    judged = judge(measured, cut(references(measured)))
-    return judged.select("doc_id", *(F.col(f"quality.{c}") for c in COUNTS), "base_failed", "kept", "class_distance", "word_distance")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return verdicts(docs).select("doc_id", *(F.col(f"quality.{c}") for c in COUNTS), "base_failed", "kept", "class_distance", "word_distance")
