@@ -2,5 +2,368 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.chunkers import registry as chunkers
+from quarry.functions import text as T
+from quarry.operators import decide, scoring, stats, tools
+from quarry.operators import index as ix
+from quarry.plans import corpus, fixtures
+from quarry.plans import oracle as O
+from quarry.streaming import calls as streams
+
+K = 5
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def shown(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def blended(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.search(corpus.index(spark, d), corpus.queries(spark, d), "hybrid+blend", K)
+
+
+# Text
+
+
+@query(f"WITH RECURSIVE {O.CHUNKS}, c_idents AS (SELECT chunk_id, unnest({O.IDENT.format('content')}) AS ident FROM chunks), {O.folded('c_idents')} SELECT DISTINCT ident, array_to_string(toks, ' ') AS tokens FROM tokens_of")
+def tokenize_idents(spark: SparkSession, d: str) -> DataFrame:
+    words = corpus.files(spark, d).select(F.explode(T.idents(F.col("content"))).alias("ident")).distinct()
+    return words.select("ident", F.array_join(T.ident_tokens(F.col("ident")), " ").alias("tokens"))
+
+
+@query(f"WITH w AS (SELECT DISTINCT lower(unnest({O.IDENT.format('text')})) AS word FROM documents) SELECT word, {O.stem_sql('word')} AS stem FROM w")
+def stem_tokens(spark: SparkSession, d: str) -> DataFrame:
+    words = corpus.files(spark, d).select(F.explode(T.idents(F.col("content"))).alias("ident")).select(F.lower("ident").alias("word")).distinct()
+    return words.select("word", T.stem(F.col("word")).alias("stem"))
+
+
+@query(O.INDEX + O.QTERMS + " SELECT query_id, term FROM qterms")
+def query_terms(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.terms_of(corpus.queries(spark, d))
+
+
+# Index
+
+
+@query(O.INDEX + " SELECT chunk_id, term, tf FROM postings")
+def term_freq(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.index(spark, d).postings
+
+
+@query(O.INDEX + " SELECT chunk_id, dlen FROM docs")
+def doc_length(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.index(spark, d).docs
+
+
+@query(O.INDEX + " SELECT term, df FROM terms")
+def doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.index(spark, d).terms.select("term", "df")
+
+
+@query(O.INDEX + " SELECT n_chunks, round(avgdl, 6) AS avgdl FROM corpus")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.index(spark, d).corpus.select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(O.INDEX + " SELECT term, round(idf, 6) AS idf FROM terms")
+def idf(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.index(spark, d).terms.select("term", F.round("idf", 6).alias("idf"))
+
+
+@query(O.INDEX + ", norms AS (SELECT chunk_id, sqrt(sum((tf * idf) * (tf * idf))) AS norm FROM postings JOIN terms USING (term) GROUP BY 1) SELECT chunk_id, term, round(CASE WHEN norm > 0 THEN tf * idf / norm ELSE 0 END, 6) AS w FROM postings JOIN terms USING (term) JOIN norms USING (chunk_id)")
+def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
+    index = corpus.index(spark, d)
+    return ix.weights(index.postings, index.terms).select("chunk_id", "term", F.round("w", 6).alias("w"))
+
+
+# Retrieval
+
+
+@query(O.INDEX + O.QTERMS + O.BM25 + O.SHOW.replace("SELECT", " SELECT", 1) + O.top("bm25", 10))
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return shown(scoring.search(corpus.index(spark, d), corpus.queries(spark, d), "fts", 10))
+
+
+@query(O.INDEX + O.QTERMS + O.COSINE + " " + O.SHOW + O.top("cosine", 10))
+def tfidf_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return shown(scoring.search(corpus.index(spark, d), corpus.queries(spark, d), "vec", 10))
+
+
+@query(O.INDEX + O.QTERMS + O.BM25 + O.COSINE + O.RRF + " " + O.SHOW + O.top("fused", 10))
+def rrf_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    return shown(scoring.search(corpus.index(spark, d), corpus.queries(spark, d), "hybrid", 10))
+
+
+@query(O.FULL + " SELECT query_id, chunk_id, round(relevance, 6) AS relevance FROM relevance")
+def heuristic_score(spark: SparkSession, d: str) -> DataFrame:
+    index, queries = corpus.index(spark, d), corpus.queries(spark, d)
+    return scoring.heuristic_scores(index, queries, scoring.hybrid(index, queries, scoring.POOL)).select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
+
+
+@query(O.FULL + " " + O.SHOW + O.reranked(1.0, K))
+def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    return shown(scoring.search(corpus.index(spark, d), corpus.queries(spark, d), "hybrid+rerank", K))
+
+
+@query(O.FULL + " " + O.SHOW + O.reranked(0.5, K))
+def blend_topk(spark: SparkSession, d: str) -> DataFrame:
+    return shown(blended(spark, d))
+
+
+@query(O.FULL + O.HITS + " " + O.SHOW + "kept")
+def filter_relevant(spark: SparkSession, d: str) -> DataFrame:
+    return shown(decide.filter_relevant(blended(spark, d)))
+
+
+@query(O.FULL + O.HITS + O.GATE + " SELECT query_id, round(noul, 6) AS noul, noul < 0.5 AS need_more FROM gate")
+def noul_gate(spark: SparkSession, d: str) -> DataFrame:
+    return decide.noul(decide.filter_relevant(blended(spark, d))).select("query_id", F.round("noul", 6).alias("noul"), "need_more")
+
+
+@query(
+    O.FULL + O.HITS + O.GATE + ", a AS (SELECT query_id, count(*) AS n_raw FROM hits GROUP BY 1), b AS (SELECT query_id, count(*) AS n_hits FROM kept GROUP BY 1) "
+    "SELECT query_id, n_hits, (n_raw = 5 OR n_hits < n_raw) AS more_available, round(noul, 6) AS noul, noul < 0.5 AS need_more FROM a JOIN b USING (query_id) JOIN gate USING (query_id)"
+)
+def search_payload(spark: SparkSession, d: str) -> DataFrame:
+    hits = blended(spark, d)
+    kept = decide.filter_relevant(hits)
+    return decide.payload(hits, kept, decide.noul(kept), K).withColumn("noul", F.round("noul", 6))
+
+
+# Chunks
+
+
+@query(
+    "WITH f AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path, " + O.LINES.format("coalesce(text, '')") + " AS l FROM documents), "
+    "s AS (SELECT file_path, l, unnest(range(1, 2 + CAST(greatest(0, ceil((len(l) - 60) / 50.0)) AS BIGINT) * 50, 50)) AS a FROM f) "
+    "SELECT file_path, CAST(a AS INTEGER) AS start_line, CAST(least(len(l), a + 59) AS INTEGER) AS end_line, array_to_string(l[a:least(len(l), a + 59)], chr(10)) AS content FROM s"
+)
+def window_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunkers.window_chunks(corpus.files(spark, d))
+
+
+@query(O.boundaries("documents", "source || '/doc_' || doc_id || '.txt'", "text", r"^(#{1,6})[\t\n\f\r ]+(.+)$", r"trim(regexp_extract(line, '^(#{1,6})[\t\n\f\r ]+(.+)$', 2))", r"'h' || length(regexp_extract(line, '^(#{1,6})[\t\n\f\r ]+(.+)$', 1))"))
+def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunkers.markdown_chunks(corpus.files(spark, d))
+
+
+@query(O.boundaries("pages", "'page_' || page_id || '.html'", "html", "(?i)<(?:h[1-6]|section|article|script|style|div)", "'block@' || start_line", "'block'"))
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return chunkers.html_blocks(pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.coalesce("html", F.lit("")).alias("content")))
+
+
+@query()
+def chunk_code_files(spark: SparkSession, d: str) -> DataFrame:
+    return chunkers.chunk_files(fixtures.files(spark))
+
+
+# Vectors
+
+_VEC = "(SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label, q.label AS query_label, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)"
+_NEAR = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {_VEC} QUALIFY rank <= 10)"
+
+
+def nearest(spark: SparkSession, d: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    return scoring.vector_topk(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), 10)
+
+
+@query(O.SHOW + _NEAR)
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return shown(nearest(spark, d))
+
+
+@query(f"SELECT query_id, round(avg(CASE WHEN label = query_label THEN 1.0::DOUBLE ELSE 0 END), 6) AS same_label FROM {_NEAR} GROUP BY 1")
+def vector_label_precision(spark: SparkSession, d: str) -> DataFrame:
+    labels = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label")
+    hits = nearest(spark, d).join(labels.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+    return hits.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("query_label")).cast("double")), 6).alias("same_label"))
+
+
+# Tools
+
+
+@query("SELECT source || '/doc_' || doc_id || '.txt' AS file_path, 1 AS start_line, CAST(len(" + O.LINES.format("coalesce(text, '')") + ") AS INTEGER) AS end_line, 'doc_' || doc_id AS symbol_name, 'file' AS kind, 'text' AS language, 'doc_' || doc_id AS signature FROM documents WHERE lower('doc_' || doc_id) = 'doc_7'")
+def find_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return tools.find_symbol(corpus.chunks(spark, d), "DOC_7")
+
+
+_REFS = (
+    "WITH l AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path, unnest(" + O.LINES.format("coalesce(text, '')") + ") AS line, unnest(range(1, 1 + len(" + O.LINES.format("coalesce(text, '')") + "))) AS no FROM documents), "
+    "b AS (SELECT *, string_split(regexp_replace(line, '`[^`]*`|\"(?:\\\\.|[^\"\\\\])*\"|''(?:\\\\.|[^''\\\\])*''', '', 'g'), '//')[1] AS bare FROM l) "
+    "SELECT file_path, CAST(no AS INTEGER) AS line, trim(line) AS text FROM b WHERE regexp_matches(bare, '(^|[^A-Za-z0-9_])token($|[^A-Za-z0-9_])')"
+)
+
+
+@query(_REFS)
+def find_references(spark: SparkSession, d: str) -> DataFrame:
+    return tools.all_references(corpus.files(spark, d), "token")
+
+
+@query("SELECT source || '/doc_' || doc_id || '.txt' AS file_path, CASE WHEN len(l) >= 2 THEN array_to_string(l[2:least(4, len(l))], chr(10)) END AS span FROM (SELECT *, " + O.LINES.format("coalesce(text, '')") + " AS l FROM documents)")
+def read_span(spark: SparkSession, d: str) -> DataFrame:
+    return tools.read_span(corpus.files(spark, d), F.lit(2), F.lit(4))
+
+
+@query("SELECT source || '/doc_' || doc_id || '.txt' AS file_path, sha256(coalesce(text, '')) AS hash FROM documents")
+def file_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return tools.manifest(corpus.files(spark, d))
+
+
+# Incremental: labelled documents were indexed before, and those of quality 0 have changed since; pages were indexed and are gone.
+
+_BEFORE = (
+    "before AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path, CASE WHEN quality = 0 THEN sha256('old:' || coalesce(text, '')) ELSE sha256(coalesce(text, '')) END AS hash FROM documents JOIN labels USING (doc_id) "
+    "UNION ALL SELECT 'pages/' || page_id || '.html', sha256(coalesce(html, '')) FROM pages), "
+    "now AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path, sha256(coalesce(text, '')) AS hash FROM documents)"
+)
+
+
+def manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    files = corpus.files(spark, d)
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    old = files.join(labels, "doc_id").withColumn("content", F.when(F.col("quality") == 0, F.concat(F.lit("old:"), "content")).otherwise(F.col("content")))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.coalesce("html", F.lit("")).alias("content"))
+    return tools.manifest(files), tools.manifest(old).unionByName(tools.manifest(pages))
+
+
+@query(f"WITH {_BEFORE} SELECT coalesce(n.file_path, b.file_path) AS file_path, CASE WHEN n.file_path IS NULL THEN 'remove' WHEN n.hash = b.hash THEN 'keep' ELSE 'reindex' END AS action FROM now n FULL JOIN before b ON n.file_path = b.file_path")
+def incremental_plan(spark: SparkSession, d: str) -> DataFrame:
+    return tools.plan_update(*manifests(spark, d))
+
+
+@query(f"WITH {_BEFORE} SELECT count(*) FILTER (WHERE n.file_path IS NOT NULL) AS files, count(*) FILTER (WHERE n.hash = b.hash) AS kept, count(*) FILTER (WHERE n.file_path IS NOT NULL AND n.hash IS DISTINCT FROM b.hash) AS reindexed, count(*) FILTER (WHERE n.file_path IS NULL) AS removed FROM now n FULL JOIN before b ON n.file_path = b.file_path")
+def run_stats(spark: SparkSession, d: str) -> DataFrame:
+    plan = tools.plan_update(*manifests(spark, d))
+    is_ = lambda a: F.count_if(F.col("action") == a)
+    return plan.agg(F.count_if(F.col("action") != "remove").alias("files"), is_("keep").alias("kept"), is_("reindex").alias("reindexed"), is_("remove").alias("removed"))
+
+
+@query(f"WITH {_BEFORE} SELECT file_path, hash FROM before WHERE file_path NOT IN (SELECT file_path FROM now)")
+def removed_files(spark: SparkSession, d: str) -> DataFrame:
+    return tools.removed(*manifests(spark, d))
+
+
+@query(f"WITH {_BEFORE} SELECT file_path, hash FROM now")
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    now, before = manifests(spark, d)
+    changed = now.join(before, ["file_path", "hash"], "left_anti")
+    return tools.upsert(before, changed, tools.removed(now, before), "file_path").select("file_path", "hash")
+
+
+@query(f"WITH {_BEFORE} SELECT n.file_path, n.hash FROM now n LEFT JOIN before b ON n.file_path = b.file_path WHERE b.file_path IS NULL OR b.hash <> n.hash")
+def embed_need(spark: SparkSession, d: str) -> DataFrame:
+    now, before = manifests(spark, d)
+    need = tools.need_embedding(now.withColumnRenamed("file_path", "chunk_id"), before.select(F.col("file_path").alias("chunk_id"), "hash", F.lit(True).alias("has_vector")))
+    return need.withColumnRenamed("chunk_id", "file_path")
+
+
+@query("SELECT 'web' AS name, '/srv/web' AS path")
+def project_resolve(spark: SparkSession, d: str) -> DataFrame:
+    projects = spark.createDataFrame([("api", "/srv/api", 0), ("web", "/srv/web", 1)], "name string, path string, pos int")
+    return tools.resolve_project(projects, " WEB ", "api")
+
+
+# Evaluation and statistics
+
+
+def first_hits(spark: SparkSession, d: str) -> DataFrame:
+    return stats.first_hits(blended(spark, d), corpus.relevant(spark, d))
+
+
+def metrics() -> list:
+    return [F.round(c, 6).alias(n) for c, n in zip(stats.recall_mrr(None), ("recall_1", "recall_3", "recall_5", "mrr"), strict=True)]
+
+
+@query(O.FULL + O.HITS + O.RELEVANT + f" SELECT count(*) AS n, {O.METRICS} FROM first")
+def eval_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
+    return first_hits(spark, d).agg(F.count("*").alias("n"), *metrics())
+
+
+@query(O.FULL + O.HITS + O.RELEVANT + f", langs AS (SELECT query_id, min(lang) AS lang FROM relevant GROUP BY 1) SELECT lang, count(*) AS n, {O.METRICS} FROM first JOIN langs USING (query_id) GROUP BY GROUPING SETS ((), (lang))")
+def eval_slices(spark: SparkSession, d: str) -> DataFrame:
+    langs = corpus.relevant(spark, d).groupBy("query_id").agg(F.min("lang").alias("lang"))
+    return first_hits(spark, d).join(langs, "query_id").groupingSets([[], ["lang"]], "lang").agg(F.count("*").alias("n"), *metrics())
+
+
+_BENCH = """,
+gterms AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'), lambda t: length(t) > 3)) AS ts FROM benchmark),
+grep AS (
+  SELECT query_id, sum(strlen(content) + list_sum(list_transform(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)),
+         lambda x, i: CASE WHEN len(list_filter(ts, lambda t: contains(lower(x), t))) > 0 THEN strlen(file_path) + length(CAST(i AS VARCHAR)) + strlen(x) + 4 ELSE 0 END))) AS bytes
+  FROM chunks, gterms WHERE len(list_filter(ts, lambda t: contains(lower(content), t))) > 0 GROUP BY 1),
+base AS (SELECT item_id AS query_id, CAST(floor(coalesce(bytes, (SELECT sum(strlen(content)) FROM chunks)) / 4) AS BIGINT) AS baseline FROM benchmark LEFT JOIN grep ON query_id = item_id),
+rag AS (SELECT query_id, CAST(floor(sum(strlen(content)) / 4) AS BIGINT) AS rag FROM kept JOIN chunks USING (chunk_id) GROUP BY 1),
+bench AS (SELECT query_id, baseline, rag, round(baseline / rag::DOUBLE, 6) AS ratio FROM base JOIN rag USING (query_id) WHERE rag > 0)"""
+
+
+def bench_rows(spark: SparkSession, d: str) -> DataFrame:
+    chunks = corpus.chunks(spark, d)
+    kept = decide.filter_relevant(blended(spark, d)).join(chunks.select("chunk_id", "content"), "chunk_id")
+    rag = kept.groupBy("query_id").agg(F.floor(F.sum(F.octet_length("content")) / 4).cast("long").alias("rag")).where("rag > 0")
+    base = stats.grep_cost(corpus.queries(spark, d), corpus.files(spark, d)).withColumnRenamed("tokens", "baseline")
+    return base.join(rag, "query_id").select("query_id", "baseline", "rag", F.round(F.col("baseline") / F.col("rag"), 6).alias("ratio"))
+
+
+@query(O.FULL + O.HITS + _BENCH + " SELECT query_id, baseline, rag, ratio FROM bench")
+def token_bench(spark: SparkSession, d: str) -> DataFrame:
+    return bench_rows(spark, d)
+
+
+@query(O.FULL + O.HITS + _BENCH + " SELECT count(*) AS n, round(avg(ratio), 4) AS mean_ratio, round(median(ratio), 4) AS median_ratio FROM bench")
+def token_bench_summary(spark: SparkSession, d: str) -> DataFrame:
+    return bench_rows(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 4).alias("mean_ratio"), F.round(F.median("ratio"), 4).alias("median_ratio"))
+
+
+_CALLS = "(SELECT event_id, ts, event_type AS tool, value AS latency_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS response_bytes FROM events)"
+_CALL_STATS = "count(*) AS calls, CAST(sum(response_bytes) AS BIGINT) AS total_bytes, round(avg(response_bytes), 6) AS avg_bytes, round(avg(latency_ms), 6) AS avg_latency, round(sum(response_bytes) / 4.0::DOUBLE, 6) AS tokens"
+
+
+def rounded_calls(spark: SparkSession, d: str) -> DataFrame:
+    found = stats.call_stats(corpus.calls(spark, d))
+    return found.select("tool", "calls", "total_bytes", *(F.round(c, 6).alias(c) for c in ("avg_bytes", "avg_latency", "tokens")))
+
+
+@query(f"SELECT {_CALL_STATS} FROM {_CALLS}")
+def call_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded_calls(spark, d).where("tool IS NULL").drop("tool")
+
+
+@query(f"SELECT tool, {_CALL_STATS} FROM {_CALLS} GROUP BY ROLLUP (tool)")
+def call_stats_by_tool(spark: SparkSession, d: str) -> DataFrame:
+    return rounded_calls(spark, d)
+
+
+@query(f"SELECT event_id, tool, latency_ms, response_bytes FROM {_CALLS} ORDER BY ts DESC, event_id DESC LIMIT 10")
+def recent_calls(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.calls(spark, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "tool", "latency_ms", "response_bytes")
+
+
+@query("WITH c AS (SELECT CASE WHEN trim(coalesce(source, '')) = '' THEN 'other' ELSE source END AS v, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS place FROM c) SELECT CASE WHEN place <= 8 THEN v ELSE 'прочее' END AS name, CAST(sum(n) AS BIGINT) AS count FROM r GROUP BY 1")
+def top_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.top_counts(corpus.files(spark, d), "source", 8)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_call_windows(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    # The file source wants a folder or a pattern.
+    stream = streams.windowed_calls(spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]"))
+    return streams.drain(stream, "calls").withColumn("total", F.round("total", 4))
