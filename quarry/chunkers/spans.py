@@ -211,7 +211,7 @@ def json_keys(path: str, lines: list[str]) -> list[Span]:
 
 def until_next(starts: list[tuple[int, Span]], n: int) -> list[Span]:
     """Each span runs to the line before the next start, the last to the end."""
-    ends = [i for i, _ in starts[1:]] + [n]
+    ends = [*(i for i, _ in starts[1:]), *([n] if starts else [])]
     return [s._replace(start=i + 1, end=e) for (i, s), e in zip(starts, ends, strict=True)]
 
 
