@@ -11,6 +11,7 @@ from quarry.operators import decide, scoring, stats, tools
 from quarry.operators import index as ix
 from quarry.plans import corpus, fixtures
 from quarry.plans import oracle as O
+from quarry.session import cut
 from quarry.streaming import calls as streams
 
 K = 5
@@ -35,7 +36,7 @@ def shown(hits: DataFrame) -> DataFrame:
 
 
 def blended(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.search(corpus.index(spark, d), corpus.queries(spark, d), "hybrid+blend", K)
+    return cut(scoring.search(corpus.index(spark, d), corpus.queries(spark, d), "hybrid+blend", K))
 
 
 # Text
@@ -113,7 +114,7 @@ def rrf_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(O.FULL + " SELECT query_id, chunk_id, round(relevance, 6) AS relevance FROM relevance")
 def heuristic_score(spark: SparkSession, d: str) -> DataFrame:
     index, queries = corpus.index(spark, d), corpus.queries(spark, d)
-    return scoring.heuristic_scores(index, queries, scoring.hybrid(index, queries, scoring.POOL)).select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
+    return scoring.heuristic_scores(index, queries, cut(scoring.hybrid(index, queries, scoring.POOL))).select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query(O.FULL + " " + O.SHOW + O.reranked(1.0, K))
