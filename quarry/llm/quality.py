@@ -142,23 +142,21 @@ def judge(measured: DataFrame, refs: DataFrame, far_classes: float = FAR_CLASSES
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Features of all documents, written once: references and verdicts both read them."""
-    row = F.xxhash64("lang", "text").alias("row")
-    return cut(features(docs.select("doc_id", "lang", "text", row)).drop("text"))
+def verdicts(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """``docs`` (without ``text`` unless asked for) with ``quality`` and the verdict's parts.
 
-
-def verdicts(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``lang``, ``row`` (a hash of lang and text), ``quality`` and the verdict's parts."""
-    measured = measure(docs)
+    Features are written once; references and verdicts both read them."""
+    measured = features(docs)
+    measured = cut(measured if texts else measured.drop("text"))
     return judge(measured, cut(references(measured)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass. Rejected rows are few and small, so where their
-    table's checked size allows, Spark broadcasts it and leaves the texts in place."""
-    rejected = cut(verdicts(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct())
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["lang"], docs["text"]) == F.col("_row")), "left_anti")
+    """The rows of ``docs`` that pass. Texts are written beside their features, so that no
+    text is shuffled or joined back, however many rows go."""
+    inner = [c if c in ("doc_id", "lang", "text") else f"_own{k}" for k, c in enumerate(docs.columns)]
+    found = verdicts(docs.toDF(*inner), texts=True).where("kept")
+    return found.select(*(F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -166,4 +164,4 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return verdicts(docs).select("doc_id", *(F.col(f"quality.{c}") for c in COUNTS), "base_failed", "kept", "class_distance", "word_distance")
+    return verdicts(docs.select("doc_id", "lang", "text")).select("doc_id", *(F.col(f"quality.{c}") for c in COUNTS), "base_failed", "kept", "class_distance", "word_distance")

@@ -258,3 +258,13 @@ def test_digest_columns(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     row = secrets.op7_secrets(spark, str(tmp_path)).first()
     assert row["spans"] == "assign:2:43,hex:11:43" and row["base_sha256"] == hashlib.sha256(row["spans"].encode()).hexdigest()
+
+
+def test_quality_rules_pass_clashing_columns(spark, empty):
+    good = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, good, "en", 7, "a", 1.0), (2, "too short", "en", 8, "b", 2.0), (None, good, None, 9, None, 3.0), (4, None, "en", 10, "d", 4.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int, kept string, _words double")
+    kept = quality.quality_rules(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=lambda r: r["quality"]) == [rows[0], rows[2]]
+    assert quality.quality_rules(empty).count() == 0
