@@ -57,28 +57,30 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
 
 def _ordered(rows: DataFrame, seed: str) -> DataFrame:
     hashed = rows.withColumn("mix_hash", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    return hashed.withColumn("mix_range", F.substring("mix_hash", 1, RANGE_DIGITS))
+    # Never null, so that windows and joins on it deal rows alike, and rows move once.
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    return hashed.withColumn("mix_range", F.substring("mix_hash", 1, RANGE_DIGITS)).withColumn("mix_key", key)
 
 
 def _plan(ordered: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
     """What each hash range of each source starts at, and what its source takes."""
-    ranges = cut(ordered.groupBy("source", "mix_range").agg(F.sum("size").alias("size")))
+    ranges = cut(ordered.groupBy("source", "mix_key", "mix_range").agg(F.sum("size").alias("size")))
     quota = source_targets(ranges, weights, max_epochs).withColumnRenamed("source", "of")
     quota = quota.withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     quota = quota.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0)))
     quota = quota.withColumn("rest", F.col("quota") - F.col("whole") * F.col("source_size")).drop("quota")
-    earlier = W.partitionBy("source").orderBy("mix_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranges.select(F.col("source").alias("at"), F.col("mix_range").alias("at_range"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
-    return cut(starts.join(quota, F.col("at").eqNullSafe(F.col("of"))).drop("of"))
+    earlier = W.partitionBy("mix_key").orderBy("mix_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select(F.col("source").alias("at"), F.col("mix_key").alias("at_key"), F.col("mix_range").alias("at_range"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    return cut(starts.join(quota, F.col("at").eqNullSafe(F.col("of"))).drop("of", "at"))
 
 
 def mix_sizes(rows: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """Adds ``source_size, target, taken`` to rows with ``doc_id, source, size``; other columns pass."""
     ordered = _ordered(rows, seed)
     plan = _plan(ordered, weights, max_epochs)
-    inner = W.partitionBy("source", "mix_range").orderBy("mix_hash", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("mix_key", "mix_range").orderBy("mix_hash", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
     placed = ordered.withColumn("mix_inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("at")) & (F.col("mix_range") == F.col("at_range")))
+    joined = placed.join(plan, (F.col("mix_key") == F.col("at_key")) & (F.col("mix_range") == F.col("at_range")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("mix_inside")))
     return joined.select(*rows.columns, "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
 
