@@ -1,0 +1,23 @@
+"""``python -m quarry.service FOLDER...``: tools over JSON-RPC, one request per line of standard input."""
+
+from __future__ import annotations
+
+import sys
+
+from quarry.service.rpc import Service
+from quarry.session import get_session
+from quarry.sources.tree import default_name, source_files
+
+
+def main(folders: list[str]) -> int:
+    if not folders:
+        print(__doc__, file=sys.stderr)
+        return 2
+    spark = get_session("service")
+    spark.sparkContext.setLogLevel("ERROR")
+    Service(spark, [(default_name(f), f.rstrip("/")) for f in folders], lambda path: source_files(spark, path)).serve(sys.stdin, sys.stdout)
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))
