@@ -4,11 +4,11 @@ A page becomes a sequence of blocks, each with the path of tags from the root to
 Text length and punctuation are summed per path and divided by the nodes on it; both
 ratios are smoothed over neighbouring blocks (a short heading or a one-word paragraph
 between long ones belongs to them), fused by their geometric mean, and weighed down by
-link share. Paths over a threshold are content, and the element that holds most of
-their score is the content root; everything under it stays in page order, short blocks
-too, except what tags, roles and class names mark as furniture. An ``article`` or
-``main`` is preferred as root where it holds much of the page's score. Pages are
-independent rows: no shuffle.
+link share and by class names of furniture. Blocks over a threshold are content, and the
+deepest element that holds most of their score is the content root. Under it the content
+stays in page order, with the headings over it and the short blocks between; what is under
+the threshold goes. Tags and roles of furniture are never content. Pages are independent
+rows: no shuffle.
 
 Defined cases: null or empty html gives an empty text; broken markup never fails (an
 unclosed comment or raw element hides the rest, unclosed blocks close with their
@@ -50,6 +50,9 @@ NAMES = set(
     "sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 ROOTS = ("article", "main")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Share of the mean score that a path must reach, weight of a path with a furniture name, and link share from which a block is a list of links.
+LINE, NAMED, LINKED = 0.5, 0.1, 0.7
 
 
 class Node:
@@ -67,7 +70,7 @@ class Node:
         hard = tag in FURNITURE or (tag == "header" and not inside) or given.get("role") in ROLES or hidden
         self.marked = hard or bool(parent and parent.marked)
         #: Marked by its name alone, which a wrapper of the whole page may have too.
-        self.soft = not hard and tag not in (*ROOTS, "body", "html") and bool(names & NAMES or "header" in names and not inside)
+        self.soft = not hard and tag not in (*ROOTS, *HEADINGS, "body", "html") and bool(names & NAMES or "header" in names and not inside)
 
     def within(self, *tags: str) -> bool:
         node = self.parent
@@ -159,9 +162,10 @@ def content(blocks: list[Block]) -> list[Block]:
     for b in blocks:
         for n in b.node.chain():
             under[n] += len(b.text)
-    wraps = {n for b in blocks if any(x.tag in ("h1", "main") for x in b.node.chain()) for n in b.node.chain()}
-    dropped = {n for n in under if n.soft and n not in wraps and under[n] < 0.8 * total}
-    rest = [b for b in blocks if not b.node.marked and not any(n in dropped for n in b.node.chain())]
+    # Only what encloses a title or the main element wraps the page; what is inside doesn't.
+    wraps = {n for x in under if x.tag in ("h1", "main") and x.parent for n in x.parent.chain()}
+    named = {n for n in under if n.soft and n not in wraps and under[n] < 0.8 * total}
+    rest = [b for b in blocks if not b.node.marked]
     if not rest:
         return []
     length: dict[str, float] = defaultdict(float)
@@ -176,21 +180,32 @@ def content(blocks: list[Block]) -> list[Block]:
     def smooth(values: list[float]) -> list[float]:
         return [(values[max(0, i - 1)] + 2 * v + values[min(len(values) - 1, i + 1)]) / 4 for i, v in enumerate(values)]
 
+    odd = [any(n in named for n in b.node.chain()) for b in rest]
+    linked = [b.linked >= LINKED * len(b.text) for b in rest]
     fused = [((x + 1) * (y + 0.1)) ** 0.5 for x, y in zip(smooth([x for x, _ in ratio]), smooth([y for _, y in ratio]), strict=True)]
-    line = sum(fused) / len(fused) * 0.5
-    chosen = [(b, f * len(b.text)) for b, f in zip(rest, fused, strict=True) if f >= line]
+    # What its name speaks against doesn't lower the line.
+    plain = [f for f, o in zip(fused, odd, strict=True) if not o] or fused
+    line = LINE * sum(plain) / len(plain)
+    fused = [f * (NAMED if o else 1) for f, o in zip(fused, odd, strict=True)]
+    passes = [f >= line and not k for f, k in zip(fused, linked, strict=True)]
     score: dict[Node, float] = defaultdict(float)
-    for b, f in chosen:
+    for b, f, p in zip(rest, fused, passes, strict=True):
         for n in b.node.chain():
-            score[n] += f
-    whole = sum(f for _, f in chosen)
-    marked_roots = [n for n in score if n.tag in ROOTS]
-    best = max(marked_roots, key=lambda n: (score[n], len(n.path)), default=None)
-    if best is None or score[best] < 0.3 * whole:
-        # The deepest element that still holds nearly all of the content's score.
-        best = max((n for n in score if score[n] >= 0.8 * whole and n.tag not in ("p", "h1", "h2", "li", "td")), key=lambda n: len(list(n.chain())), default=None)
-    inside = lambda b: best is None or best in b.node.chain()
-    return [b for b in rest if inside(b) and (best is not None and best.tag in ROOTS or b.linked < 0.7 * len(b.text))]
+            score[n] += f * len(b.text) * p
+    whole = sum(f * len(b.text) * p for b, f, p in zip(rest, fused, passes, strict=True))
+    # The deepest element that still holds nearly all of the content's score.
+    best = max((n for n in score if score[n] >= 0.8 * whole and n.tag not in ("p", "h1", "h2", "li", "td")), key=lambda n: len(list(n.chain())), default=None)
+    inside = [best is None or best in b.node.chain() for b in rest]
+    chosen = [p and i for p, i in zip(passes, inside, strict=True)]
+    at = [k for k, c in enumerate(chosen) if c]
+    if not at:
+        return []
+    # Short blocks between chosen ones, and headings over them, belong to them.
+    kept = [c or (at[0] < k < at[-1] and inside[k] and not odd[k] and not linked[k]) for k, c in enumerate(chosen)]
+    for k in range(len(rest) - 2, -1, -1):
+        heads = rest[k].node.tag in HEADINGS and inside[k] and not odd[k]
+        kept[k] = kept[k] or (heads and kept[k + 1])
+    return [b for b, k in zip(rest, kept, strict=True) if k]
 
 
 def main_text(page: str | None) -> str:

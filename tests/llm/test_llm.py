@@ -160,6 +160,17 @@ def test_html_without_article():
     assert html_text.main_text(page).startswith("Head\n\n") and "Legal" not in html_text.main_text(page) and "Two" not in html_text.main_text(page)
 
 
+def test_html_keeps_only_paths_over_the_threshold():
+    long = [f"{words(k, 40)}, and more. {words(k + 50, 20)}." for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in long[:3]) + "<h2 id='related-work'>Related work</h2>" + "".join(f"<p>{x}</p>" for x in long[3:])
+    tail = "<div class=comments><p>Nice one.</p></div><div class=ad>Buy now.</div><div class=tags><span>spark</span></div>"
+    for root in ("main", "article", "div"):
+        page = f"<body><div class=page><{root}><h1>Head</h1>{body}{tail}</{root}></div></body>"
+        assert html_text.main_text(page) == "\n\n".join(["Head", *long[:3], "Related work", *long[3:]])
+    two = "".join(f"<article><p>{x}</p><p>{x}</p></article>" for x in long)
+    assert html_text.main_text(f"<body>{two}</body>") == "\n\n".join(x for x in long for _ in range(2))
+
+
 def test_decontamination(spark, docs, empty):
     item = words(20, 40, 10**6)
     changed = item.split()
