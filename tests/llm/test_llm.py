@@ -144,6 +144,23 @@ def test_secrets(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secrets_of_keys_as_they_are_stored():
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([7 * k + 60]) * 33) for k in range(8)))
+    code = base64.b64encode(key).decode()
+    lines = [code[k : k + 64] for k in range(0, len(code), 64)]
+    pem = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----", ""])
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"s" * 130))
+    packed = base64.b64encode(pem.encode()).decode()
+    for held in (code, "\n".join(lines), "\r\n  ".join(lines), "\\n".join(lines), json.dumps(pem)[1:-3], json.dumps(json.dumps(pem))[3:-6], pem[:-1], packed, base64.encodebytes(pem.encode()).decode().rstrip("\n"), base64.urlsafe_b64encode(key).decode(), base64.encodebytes(ssh).decode().rstrip("\n"), key.hex(), pem.encode().hex()):
+        for before in ("PRIVATE_KEY=", "https://x.org/?key=", "a: ", '{"k": "', '"\\n'):
+            for after in ("", "\nand more text", '", "b": 1', "\\nx"):
+                text = before + held + after
+                spans = [text[s:e] for k, s, e in secrets.scan(text) if k == "key"]
+                assert spans == [held], (before, held, after)
+    other = base64.b64encode(der(0x30, b"".join(der(4, bytes(20)) for _ in range(9)))).decode()
+    assert not any(k == "key" for k, *_ in secrets.scan(f"KEY={other} {packed[:400]} MAIN MIIEowIBAAKCAQEA and so on"))
+
+
 def test_html():
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div>"
