@@ -6,13 +6,17 @@ every position of every document is hashed under every mask and looked up (a bit
 first). A hit fixes a diagonal: document position less item position. Around the hits,
 item and document are compared word for word on these diagonals (diagonals close to each
 other count together, which forgives small insertions), and an item has leaked if at
-least 80% of its words are matched. Words are lower-cased runs of letters and digits.
+least 80% of its words are matched. It has also leaked if one run on a diagonal, with at
+most ``MAX_GAP`` words changed in a row, matches ``RUN_WORDS`` words, or if the runs of
+all diagonals together match 80% in the item's order, however much stands between them.
+Items of fewer than ``MIN_ITEM_WORDS`` words are looked up whole and word for word.
+Words are lower-cased runs of letters and digits.
 
 The index is broadcast in blocks of at most ``MAX_INDEX_WORDS`` benchmark words; a
 larger benchmark takes more passes over the documents, one per block, with the same
 result. Documents are never shuffled in a pass.
 
-Defined cases: null or empty texts leak nothing; items of fewer than ``MIN_ITEM_WORDS``
+Defined cases: null or empty texts leak nothing; items without
 words, or null, are no evidence and never match; repeated items report each id once;
 repeated documents are judged alike; empty tables give no leaks or no rows; other
 columns pass.
@@ -21,6 +25,7 @@ columns pass.
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +39,8 @@ from quarry.llm._words import SEPARATES, Texts, buffers, mix, slices, stream, wi
 #: Positions that each mask selects.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7))
 MIN_ITEM_WORDS, MIN_OVERLAP, NEAR_DIAGONALS = 8, 0.8, 8
+#: Matched words of a run that are a leak whatever the item's length, and words in a row that a run may miss.
+RUN_WORDS, MAX_GAP = 16, 2
 MAX_INDEX_WORDS = 4_000_000
 BITMAP_BITS = 24
 
@@ -49,6 +56,51 @@ def seeds(hashes: np.ndarray, first: np.ndarray, mask: int) -> tuple[np.ndarray,
     return mix(total), starts, document
 
 
+def exact(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, start and document of every run of ``length`` words."""
+    starts, document = windows(first, length)
+    odd = stream(0xE8AC7 + length, length) | np.uint64(1)
+    total = np.zeros(len(starts), np.uint64)
+    for k in range(length):
+        total += hashes[starts + k] * odd[k]
+    return mix(total), starts, document
+
+
+def leaked(wanted: np.ndarray, own: np.ndarray, shifts: np.ndarray) -> float:
+    """Share of an item's words found in a document on the given ascending diagonals, 0 if that is no leak."""
+    best = 0.0
+    for near in np.split(shifts, np.flatnonzero(np.diff(shifts) > NEAR_DIAGONALS) + 1):
+        matched = np.zeros(len(wanted), bool)
+        for shift in near:
+            a, b = max(0, -shift), min(len(wanted), len(own) - shift)
+            if a < b:
+                matched[a:b] |= wanted[a:b] == own[a + shift : b + shift]
+        best = max(best, float(matched.mean()))
+    if best >= MIN_OVERLAP:
+        return best
+    longest, covered, pairs = 0, np.zeros(len(wanted), bool), []
+    for shift in shifts:
+        a, b = max(0, -shift), min(len(wanted), len(own) - shift)
+        at = a + np.flatnonzero(wanted[a:b] == own[a + shift : b + shift])
+        for run in np.split(at, np.flatnonzero(np.diff(at) > MAX_GAP + 1) + 1):
+            if len(run) >= len(MASKS[0]):
+                longest = max(longest, len(run))
+                covered[run] = True
+                pairs.append((run, int(shift)))
+    if longest >= RUN_WORDS:
+        return max(best, float(covered.mean()))
+    if covered.sum() < MIN_OVERLAP * len(wanted):
+        return 0.0
+    # The most words of the item that the document holds in the item's order, over all diagonals.
+    places = np.concatenate([np.stack([run, run + shift], 1) for run, shift in pairs])
+    ends: list[int] = []
+    for place in places[np.lexsort((-places[:, 1], places[:, 0])), 1].tolist():
+        k = bisect_left(ends, place)
+        ends[k : k + 1] = [place]
+    share = len(ends) / len(wanted)
+    return max(best, share) if share >= MIN_OVERLAP else 0.0
+
+
 class Index:
     """Seeds of a block of items."""
 
@@ -64,6 +116,13 @@ class Index:
             items.append(item[keep])
             places.append((start - self.first[item])[keep])
         keys, items, places = map(np.concatenate, (keys, items, places))
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in range(1, MIN_ITEM_WORDS):
+            key, _, item = exact(self.hashes, self.first, length)
+            own = parsed.counts[item] == length
+            order = np.argsort(key[own], kind="stable")
+            if len(order):
+                self.short[length] = key[own][order], item[own][order]
         order = np.argsort(keys, kind="stable")
         self.keys, self.items, self.places = keys[order], items[order], places[order]
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
@@ -87,20 +146,26 @@ class Index:
         out: dict[int, list[tuple[int, float]]] = {}
         if found:
             lines = np.unique(np.concatenate(found), axis=0)
-            change = np.any(lines[1:, :2] != lines[:-1, :2], axis=1) | (np.diff(lines[:, 2]) > NEAR_DIAGONALS)
+            change = np.any(lines[1:, :2] != lines[:-1, :2], axis=1)
             for group in np.split(lines, np.flatnonzero(change) + 1):
                 document, item = int(group[0, 0]), int(group[0, 1])
                 wanted = self.hashes[self.first[item] : self.first[item + 1]]
                 own = hashes[parsed.first[document] : parsed.first[document + 1]]
-                matched = np.zeros(len(wanted), bool)
-                for shift in group[:, 2]:
-                    a, b = max(0, -shift), min(len(wanted), len(own) - shift)
-                    if a < b:
-                        matched[a:b] |= wanted[a:b] == own[a + shift : b + shift]
-                if matched.sum() >= MIN_OVERLAP * len(wanted):
-                    out.setdefault(document, []).append((int(self.ids[item]), float(matched.mean())))
+                if overlap := leaked(wanted, own, group[:, 2]):
+                    out.setdefault(document, []).append((int(self.ids[item]), overlap))
+        for document, item in self.short_hits(hashes, parsed.first):
+            out.setdefault(document, []).append((int(self.ids[item]), 1.0))
         return out
 
+    def short_hits(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Documents and the items of fewer than ``MIN_ITEM_WORDS`` words that they hold word for word."""
+        for length, (keys, items) in self.short.items():
+            key, _, document = exact(hashes, first, length)
+            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            at = np.flatnonzero(high > low)
+            pairs = np.unique(np.stack([document[at], low[at], high[at]], 1), axis=0)
+            yield from ((int(d), int(items[k])) for d, a, b in pairs for k in range(a, b))
+
 
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("overlap", T.DoubleType())]))
 ARROW_LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64())]))

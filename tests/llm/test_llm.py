@@ -203,6 +203,28 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0
 
 
+def test_decontamination_of_parts_insertions_and_short_items(spark):
+    item, small = words(30, 59, 10**6).split(), words(31, 24, 10**6).split()
+    fill = lambda k, n=40: words(k, n, 10**6)
+    run = item[:22]
+    run[5] = run[13] = "swapped"
+    texts = [
+        " ".join([fill(32), *item[:45], fill(33)]),  # 45 of 59 words
+        " ".join([fill(34), *small[:12], fill(35, 30), *small[12:], fill(36)]),  # cut in two by 30 words
+        " ".join([fill(37), *small[12:], fill(38, 30), *small[:12], fill(39)]),  # not in order
+        f"{fill(40)} What, is IT? {fill(41)}",
+        f"{fill(42)} what it is {fill(43)}",
+        " ".join([fill(44), *run, fill(45)]),
+        " ".join([fill(46), *item[20:34], fill(47)]),  # 14 words are no leak
+        "what is it",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(small)), (3, "what is it"), (4, "??"), (5, "What is it?")], "item_id long, text string")
+    for limit in (decontaminate.MAX_INDEX_WORDS, 50):
+        got = {r["doc_id"]: [(x["item_id"], round(x["overlap"], 3)) for x in r["leaks"]] for r in decontaminate.find_leaks(table, bench, limit).collect()}
+        assert got == {0: [(1, 0.763)], 1: [(2, 1.0)], 2: [], 3: [(3, 1.0), (5, 1.0)], 4: [], 5: [(1, 0.339)], 6: [], 7: [(3, 1.0), (5, 1.0)]}
+
+
 def test_quotes(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [
