@@ -3,16 +3,16 @@
 Each text gets two histograms: over character classes, and over common words of
 several languages (others together). References per language are the medians, bin by
 bin, of the histograms of all long enough documents that pass the base rules (medians,
-because a third of the rows may be one source's junk), gathered by partial aggregates; there are at most ``len(LANGUAGES) + 1`` of them, the last for every other
-language. A document whose Jensen-Shannon distance to its reference exceeds a
+because a third of the rows may be one source's junk), gathered by partial aggregates:
+one for every value of ``lang`` that has ``MIN_DOCS`` such documents. A document whose Jensen-Shannon distance to its reference exceeds a
 threshold is rejected, unless it is too short for its histogram to mean anything.
 All is built-in functions: repeated word windows are found inside the row, first by a
 comparison of the counts of all and of distinct window hashes (64 bits), and only
 documents with repeats are sorted and measured.
 
-Defined cases: null or empty text has no words and fails the base rules; a null or
-unknown ``lang`` is held against the mixed reference; a language without a long enough
-document has no reference and rejects nothing by divergence; repeated rows are judged
+Defined cases: null or empty text has no words and fails the base rules; a null
+``lang``, or one with fewer than ``MIN_DOCS`` long enough documents, has no reference and
+rejects nothing by divergence; repeated rows are judged
 alike; an empty table gives no rows; other columns pass.
 """
 
@@ -26,8 +26,7 @@ from quarry.session import cut
 
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 5
-LANGUAGES = ("de", "en", "es", "fr")
-#: Frequent function words of the four languages, as they stand inside a sentence.
+#: Frequent function words of German, English, Spanish and French, as they stand inside a sentence.
 COMMON_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "on", "are", "as", "with", "be",
     "der", "die", "und", "das", "von", "zu", "den", "mit", "nicht", "ist",
@@ -36,6 +35,8 @@ COMMON_WORDS = (
 )
 #: Guards: characters and words from which a histogram counts.
 MIN_CHARS, MIN_WORDS = 200, 50
+#: Long enough documents that make a reference.
+MIN_DOCS = 10
 #: Distances (0 to 1) over which a document goes: of classes alone, or of both together.
 FAR_CLASSES, ODD_CLASSES, ODD_WORDS = 0.35, 0.2, 0.25
 
@@ -102,18 +103,14 @@ def base_failed(quality: str = "quality") -> Column:
     return (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
 
 
-def language(lang: Column) -> Column:
-    return F.when(lang.isin(*LANGUAGES), lang).otherwise(F.lit("other"))
-
-
-def references(measured: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
-    """Median histograms per language of ``LANGUAGES``; ``other`` is that of all documents."""
+def references(measured: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Median histograms per language with enough documents."""
     q = F.col("quality")
-    full = measured.where(~base_failed() & (q["word_chars"] >= min_chars) & (q["n_words"] >= min_words))
-    of = F.explode(F.array_distinct(F.array(language(F.col("lang")), F.lit("other")))).alias("of")
+    full = measured.where(F.col("lang").isNotNull() & ~base_failed() & (q["word_chars"] >= min_chars) & (q["n_words"] >= min_words))
+    of = F.col("lang").alias("of")
     widths = {"classes": len(CLASSES) + 2, "commons": len(COMMON_WORDS) + 1}
     flat = full.select(of, *(q[h][i].alias(f"{h}{i}") for h, n in widths.items() for i in range(n)))
-    middle = flat.groupBy("of").agg(*(F.percentile_approx(f"{h}{i}", 0.5, 1000).alias(f"{h}{i}") for h, n in widths.items() for i in range(n)))
+    middle = flat.groupBy("of").agg(F.count("*").alias("n"), *(F.percentile_approx(f"{h}{i}", 0.5, 1000).alias(f"{h}{i}") for h, n in widths.items() for i in range(n))).where(F.col("n") >= min_docs)
     even = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda t, y: t + y))
     return middle.select("of", *(even(F.array(*(f"{h}{i}" for i in range(n)))).alias(f"ref_{h}") for h, n in widths.items()))
 
@@ -126,16 +123,16 @@ def distance(p: Column, r: Column) -> Column:
 
 
 def judge(measured: DataFrame, refs: DataFrame, far_classes: float = FAR_CLASSES, odd_classes: float = ODD_CLASSES, odd_words: float = ODD_WORDS) -> DataFrame:
-    """Adds ``base_failed``, ``class_distance``, ``word_distance`` (null where guarded) and ``kept``."""
+    """Adds ``base_failed``, ``class_distance``, ``word_distance`` (null where guarded or without a reference) and ``kept``."""
     own = [c for c in measured.columns if c.lower() not in ("of", "base_failed", "class_distance", "word_distance", "kept")]
     q = F.col("quality")
-    # At most five rows, by construction: broadcasting them needs no check of size.
-    joined = measured.select(*own).join(F.broadcast(refs), language(F.col("lang")) == F.col("of"), "left")
+    # As many rows as languages: broadcast by their size as written, not by a hint.
+    joined = measured.select(*own).join(refs, F.col("lang") == F.col("of"), "left")
     judged = joined.select(
         *own,
         base_failed().alias("base_failed"),
-        F.when(q["word_chars"] >= MIN_CHARS, distance(q["classes"], F.col("ref_classes"))).alias("class_distance"),
-        F.when(q["n_words"] >= MIN_WORDS, distance(q["commons"], F.col("ref_commons"))).alias("word_distance"),
+        F.when(F.col("of").isNotNull() & (q["word_chars"] >= MIN_CHARS), distance(q["classes"], F.col("ref_classes"))).alias("class_distance"),
+        F.when(F.col("of").isNotNull() & (q["n_words"] >= MIN_WORDS), distance(q["commons"], F.col("ref_commons"))).alias("word_distance"),
     )
     classes, commons = (F.coalesce(F.col(f"{c}_distance"), F.lit(0.0)) for c in ("class", "word"))
     far = (classes > far_classes) | ((classes > odd_classes) & (commons > odd_words))

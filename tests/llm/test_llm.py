@@ -318,3 +318,17 @@ def test_quality_rules_pass_clashing_columns(spark, empty):
     assert kept.columns == docs.columns
     assert sorted(kept.collect(), key=lambda r: r["quality"]) == [rows[0], rows[2]]
     assert quality.quality_rules(empty).count() == 0
+
+
+def test_quality_holds_languages_against_themselves(spark):
+    def text(letters, k):
+        r = random.Random(k)
+        return " ".join("".join(r.choice(letters) for _ in range(2 + r.randrange(7))) for _ in range(120)) + "."
+
+    latin, russian, greek = "abcdefghijklmnop", "абвгдежзиклмнопр", "αβγδεζηθικλμνξοπ"
+    rows = [(k, text(latin, k), "en") for k in range(60)] + [(100 + k, text(russian, k), "ru") for k in range(15)]
+    rows += [(200, text(greek, 200), "el"), (201, text(greek, 201), None), (202, text(russian, 202), "en"), (203, text(latin, 203), "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality.quality_rules(docs).collect()} == {r[0] for r in rows} - {202, 203}
+    got = {r["doc_id"]: r["class_distance"] for r in quality.verdicts(docs).where("doc_id >= 200").collect()}
+    assert got[200] is got[201] is None and got[202] > 0.9 and got[203] > 0.9
