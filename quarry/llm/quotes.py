@@ -1,7 +1,7 @@
 """Chat formatting by quotation linking.
 
 Each line's nested quote level is parsed from its leading ``>`` marks. Passages (lines,
-paragraphs and whole runs of one level) are normalised and hashed; per conversation and
+paragraphs, whole runs of one level, and all of a level) are normalised and hashed; per conversation and
 hash the earliest message whose own words hold the passage is its original, found by a
 partial aggregate, so the join of quotes to originals is many-to-one and a passage that
 thousands of messages quote makes no pairs. A message replies to the original of the
@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from quarry.llm._native import BLANKS, lower_ascii
 from quarry.session import cut
 
-#: A passage is evidence from this many code points on.
-MIN_PASSAGE, MAX_ROUNDS = 8, 64
+MAX_ROUNDS = 64
 _PREFIX = r"^((?:[\x20\t]?>)+)[\x20\t]?"
 
 
@@ -45,16 +44,27 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def _keys(text: Column) -> Column:
-    """Normalised lines, paragraphs and the whole of a text, distinct, long enough to count."""
+    """Normalised lines, paragraphs and the whole of a text, distinct and not empty."""
     parts = F.concat(F.split(text, "\n", -1), F.split(text, r"\n[\x20\t]*\n", -1), F.array(text))
-    return F.filter(F.array_distinct(F.transform(parts, _normal)), lambda k: F.length(k) >= MIN_PASSAGE)
+    return F.filter(F.array_distinct(F.transform(parts, _normal)), lambda k: F.length(k) > 0)
+
+
+def texts(found: DataFrame) -> DataFrame:
+    """``conv_id, turn, level, passage``: each run of lines of one level, and all lines of each level."""
+    levels = F.transform("_lines", lambda x: x["level"])
+    at = found.select("conv_id", "turn", "_lines", levels.alias("_levels"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("_levels")), lambda i: (i == 1) | (F.get("_levels", i - 1) != F.get("_levels", i - 2)))
+    at = at.withColumn("_starts", starts)
+    joined = lambda lines: F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    end = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_levels") + 1)
+    runs = F.transform("_starts", lambda s, k: F.struct(F.get("_levels", s - 1).alias("level"), joined(F.slice("_lines", s, end(k) - s)).alias("passage")))
+    whole = F.transform(F.array_distinct("_levels"), lambda v: F.struct(v.alias("level"), joined(F.filter("_lines", lambda x: x["level"] == v)).alias("passage")))
+    return at.select("conv_id", "turn", F.inline(F.array_distinct(F.concat(runs, whole))))
 
 
 def quotations(found: DataFrame) -> DataFrame:
     """``conv_id, turn, level, hash, size``: each quoted passage of each message."""
-    levels = F.array_distinct(F.transform(F.filter("_lines", lambda x: x["level"] > 0), lambda x: x["level"]))
-    leveled = found.where(F.size(levels) > 0).select("conv_id", "turn", "_lines", F.explode(levels).alias("level"))
-    text = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == F.col("level")), lambda x: x["line"]), "\n")
+    leveled, text = texts(found).where("level > 0"), F.col("passage")
     passages = leveled.select("conv_id", "turn", "level", F.explode(_keys(text)).alias("key"))
     return passages.select("conv_id", "turn", "level", F.md5("key").alias("hash"), F.length("key").alias("size"))
 
@@ -64,7 +74,7 @@ def links(found: DataFrame) -> DataFrame:
     known = found.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoted = quotations(known)
     originals = (
-        known.select("conv_id", "turn", F.explode(_keys(F.col("own"))).alias("key"))
+        texts(known).where("level = 0").select("conv_id", "turn", F.explode(_keys(F.col("passage"))).alias("key"))
         .groupBy(F.col("conv_id").alias("of"), F.md5("key").alias("original"))
         .agg(F.min("turn").alias("parent"))
     )

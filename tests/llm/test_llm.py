@@ -244,6 +244,18 @@ def test_quotes(spark):
     assert quotes.link_quotations(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_quotes_of_inline_replies(spark):
+    rows = [
+        (1, 0, "The first question goes on\nover two lines.\n\nThe second one is as\nlong as that."),
+        (1, 1, "> The first question\n> goes on over two lines.\nYes.\n> The second one\n> is as long as that.\nNo, I\ndon't think so."),
+        (1, 2, "> Yes.\nGood."),
+        (1, 3, "> No, I don't\n> think so.\nWhy?"),
+        (2, 1, "> Yes.\nalone"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert got == {(1, 0): None, (1, 1): 0, (1, 2): 1, (1, 3): 1, (2, 1): None}
+
+
 def test_toxicity(spark, empty):
     r = random.Random(3)
     plain = [f"w{k}" for k in range(300)]
