@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of this package, ``[\x20\x09-\x0D]``.
@@ -24,9 +26,17 @@ def strip_blanks(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 
 
-def free_name(taken: list[str], name: str) -> str:
-    """``name``, with underscores until no column has it (Spark ignores case)."""
-    have = {c.lower() for c in taken}
-    while name.lower() in have:
-        name += "_"
-    return name
+def inner_names(columns: Sequence[str], *wanted: str) -> list[str]:
+    """Names of a table's columns while an operator works on it: those that it asks for
+    (whatever their case), and ``own0``, ``own1``, ... for all others, so that nothing an
+    operator makes can clash with a column of the caller's."""
+    low = [c.lower() for c in columns]
+    places = {low.index(w): w for w in wanted if w in low}
+    return [places.get(k, f"own{k}") for k in range(len(columns))]
+
+
+def outer_columns(columns: Sequence[str], inner: Sequence[str], added: Sequence[str] = (), **instead: Column) -> list[Column]:
+    """The caller's columns under their own names, but for those named like ``added`` in
+    any case, which an operator replaces; ``instead`` gives new values by inner name."""
+    gone = {a.lower() for a in added}
+    return [instead.get(i, F.col(i)).alias(c) for i, c in zip(inner, columns, strict=True) if c.lower() not in gone]

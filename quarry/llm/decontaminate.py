@@ -12,19 +12,29 @@ all diagonals together match 80% in the item's order, however much stands betwee
 Items of fewer than ``MIN_ITEM_WORDS`` words are looked up whole and word for word.
 Words are lower-cased runs of letters and digits.
 
-The index is broadcast in blocks of at most ``MAX_INDEX_WORDS`` benchmark words; a
-larger benchmark takes more passes over the documents, one per block, with the same
-result. Documents are never shuffled in a pass.
-
-Defined cases: null or empty texts leak nothing; items without
-words, or null, are no evidence and never match; repeated items report each id once;
-repeated documents are judged alike; empty tables give no leaks or no rows; other
-columns pass.
+A place of a document is looked up in all items at once, and of hits that follow each
+other on a diagonal only the first counts, in batches of ``HITS``. A first comparison of
+whole diagonals, in batches too, leaves the pairs of document and item that can be leaks;
+only these are looked at one by one. So an opening that thousands of items share costs
+no row per hit, and memory is bounded however often a text repeats it.
+
+Items are taken in blocks of at most ``MAX_INDEX_WORDS`` words (bounded by their bytes),
+one pass over the documents for each. A pass holds one block's index, which a Python
+worker builds once; between passes the table is written. One block or many, the code and
+the result are the same, and no pass shuffles documents. An item is never cut, so a
+single item beyond the bound makes a block of its own size.
+
+Defined cases: null or empty texts leak nothing, and neither do texts of very many words
+alone; items without words, or null ones, are no evidence and never match; repeated items
+report each id once, with their greatest overlap; repeated documents are judged alike;
+an empty table of documents gives no rows and an empty benchmark no leaks; other columns
+pass, whatever their names, but a column named ``leaks`` in any case is replaced.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -34,7 +44,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm._native import inner_names, outer_columns
 from quarry.llm._words import SEPARATES, Texts, buffers, mix, slices, stream, windows
+from quarry.session import cut
 
 #: Positions that each mask selects.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7))
@@ -43,6 +55,8 @@ MIN_ITEM_WORDS, MIN_OVERLAP, NEAR_DIAGONALS = 8, 0.8, 8
 RUN_WORDS, MAX_GAP = 16, 2
 MAX_INDEX_WORDS = 4_000_000
 BITMAP_BITS = 24
+#: Hits that are held at once, and words that are compared at once.
+HITS, COMPARED = 1 << 20, 1 << 21
 
 
 def seeds(hashes: np.ndarray, first: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,37 +82,64 @@ def exact(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarra
 
 def leaked(wanted: np.ndarray, own: np.ndarray, shifts: np.ndarray) -> float:
     """Share of an item's words found in a document on the given ascending diagonals, 0 if that is no leak."""
-    best = 0.0
-    for near in np.split(shifts, np.flatnonzero(np.diff(shifts) > NEAR_DIAGONALS) + 1):
-        matched = np.zeros(len(wanted), bool)
-        for shift in near:
-            a, b = max(0, -shift), min(len(wanted), len(own) - shift)
-            if a < b:
-                matched[a:b] |= wanted[a:b] == own[a + shift : b + shift]
-        best = max(best, float(matched.mean()))
-    if best >= MIN_OVERLAP:
-        return best
-    longest, covered, pairs = 0, np.zeros(len(wanted), bool), []
-    for shift in shifts:
-        a, b = max(0, -shift), min(len(wanted), len(own) - shift)
-        at = a + np.flatnonzero(wanted[a:b] == own[a + shift : b + shift])
-        for run in np.split(at, np.flatnonzero(np.diff(at) > MAX_GAP + 1) + 1):
-            if len(run) >= len(MASKS[0]):
-                longest = max(longest, len(run))
-                covered[run] = True
-                pairs.append((run, int(shift)))
+    size, step = len(wanted), max(1, COMPARED // max(1, len(wanted)))
+    cluster = np.concatenate([[0], np.cumsum(np.diff(shifts) > NEAR_DIAGONALS)])
+    best, longest, covered, places = 0, 0, np.zeros(size, bool), []
+    union, of = np.zeros(size, bool), -1
+    for low in range(0, len(shifts), step):
+        rows = shifts[low : low + step, None]
+        at = rows + np.arange(size)
+        same = (at >= 0) & (at < len(own))
+        same &= own[np.clip(at, 0, len(own) - 1)] == wanted
+        # Diagonals close to each other count together; the last group may go on in the next step.
+        groups = cluster[low : low + step]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1])
+        unions = np.logical_or.reduceat(same, edges, axis=0)
+        if groups[0] == of:
+            unions[0] |= union
+        best, union, of = max(best, int(unions.sum(1).max()), int(union.sum())), unions[-1], groups[-1]
+        row, word = np.nonzero(same)
+        begins = np.concatenate([[True], (np.diff(row) > 0) | (np.diff(word) > MAX_GAP + 1)]) if len(row) else np.zeros(0, bool)
+        run = np.cumsum(begins) - 1
+        matched = np.bincount(run, minlength=1)
+        longest = max(longest, int(matched.max()))
+        part = matched[run] >= len(MASKS[0])
+        covered[word[part]] = True
+        places.append(np.stack([word[part], (word + rows[row, 0])[part]], 1))
+    if best >= MIN_OVERLAP * size:
+        return best / size
     if longest >= RUN_WORDS:
-        return max(best, float(covered.mean()))
-    if covered.sum() < MIN_OVERLAP * len(wanted):
+        return max(best, int(covered.sum())) / size
+    if covered.sum() < MIN_OVERLAP * size:
         return 0.0
     # The most words of the item that the document holds in the item's order, over all diagonals.
-    places = np.concatenate([np.stack([run, run + shift], 1) for run, shift in pairs])
+    pairs = np.concatenate(places)
     ends: list[int] = []
-    for place in places[np.lexsort((-places[:, 1], places[:, 0])), 1].tolist():
+    for place in pairs[np.lexsort((-pairs[:, 1], pairs[:, 0])), 1].tolist():
         k = bisect_left(ends, place)
         ends[k : k + 1] = [place]
-    share = len(ends) / len(wanted)
-    return max(best, share) if share >= MIN_OVERLAP else 0.0
+    return max(best, len(ends)) / size if len(ends) >= MIN_OVERLAP * size else 0.0
+
+
+def batches_of(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes sum to about ``limit``."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + limit, "right")))
+        yield low, high
+        low = high
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts 2, 3: owners 0 0 1 1 1 and places 0 1 0 1 2."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+
+
+def distinct(rows: np.ndarray) -> np.ndarray:
+    """Sorted distinct rows of a matrix of three columns."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate([[True], np.any(rows[1:] != rows[:-1], axis=1)])] if len(rows) else rows
 
 
 class Index:
@@ -108,14 +149,16 @@ class Index:
         parsed = Texts(*buffers(texts), SEPARATES)
         self.hashes, self.first, self.ids = parsed.hashes(lower=True), parsed.first, ids
         enough = parsed.counts >= MIN_ITEM_WORDS
-        keys, items, places = [], [], []
+        keys, items, places, before = [], [], [], []
         for mask in range(len(MASKS)):
             key, start, item = seeds(self.hashes, self.first, mask)
+            last = np.where(np.diff(item, prepend=-1) == 0, np.roll(key, 1), np.uint64(0))
             keep = enough[item]
             keys.append(key[keep])
-            items.append(item[keep])
-            places.append((start - self.first[item])[keep])
-        keys, items, places = map(np.concatenate, (keys, items, places))
+            items.append(item[keep].astype(np.int32))
+            places.append((start - self.first[item])[keep].astype(np.int32))
+            before.append(last[keep])
+        keys, items, places, before = map(np.concatenate, (keys, items, places, before))
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length in range(1, MIN_ITEM_WORDS):
             key, _, item = exact(self.hashes, self.first, length)
@@ -124,35 +167,61 @@ class Index:
             if len(order):
                 self.short[length] = key[own][order], item[own][order]
         order = np.argsort(keys, kind="stable")
-        self.keys, self.items, self.places = keys[order], items[order], places[order]
+        #: Seeds in order, their items and places there, and the seed one word earlier under the same mask (0 if none).
+        self.keys, self.items, self.places, self.before = keys[order], items[order], places[order], before[order]
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[self.keys >> np.uint64(64 - BITMAP_BITS)] = True
 
-    def leaks(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, float]]]:
-        """Per document of a slice, the items that leaked into it and their overlaps."""
-        parsed = Texts(data, offsets, SEPARATES)
-        hashes, found = parsed.hashes(lower=True), []
+    def diagonals(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct (document, item, diagonal) of all hits."""
+        found = [np.zeros((0, 3), np.int64)]
         for mask in range(len(MASKS)):
-            key, start, document = seeds(hashes, parsed.first, mask)
+            key, start, document = seeds(hashes, first, mask)
             at = np.flatnonzero(self.bitmap[key >> np.uint64(64 - BITMAP_BITS)])
             low, high = np.searchsorted(self.keys, key[at], "left"), np.searchsorted(self.keys, key[at], "right")
-            count = high - low
-            if not count.sum():
+            at, low, high = at[high > low], low[high > low], high[high > low]
+            if not len(at):
                 continue
-            hit = np.repeat(np.arange(len(at)), count)
-            entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-            place = start[at][hit] - parsed.first[document[at][hit]]
-            found.append(np.stack([document[at][hit], self.items[entry], place - self.places[entry]], 1))
+            before = np.where((at > 0) & (document[at] == document[at - 1]), key[at - 1], np.uint64(0))
+            place = start[at] - first[document[at]]
+            for a, b in batches_of(high - low, HITS):
+                hit, entry = spread(high[a:b] - low[a:b])
+                entry += low[a:b][hit]
+                # On a diagonal where the last place hit too, this hit says nothing new.
+                head = (before[a:b][hit] == 0) | (self.before[entry] != before[a:b][hit])
+                hit, entry = hit[head], entry[head]
+                found.append(distinct(np.stack([document[at[a:b]][hit], self.items[entry].astype(np.int64), place[a:b][hit] - self.places[entry]], 1)))
+        return distinct(np.concatenate(found))
+
+    def likely(self, lines: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """Those of the ``lines`` by document and item that can be leaks: enough words match on one diagonal or on all together."""
+        document, item, shift = lines.T
+        sizes, lengths = np.diff(self.first)[item], np.diff(first)[document]
+        begin, end = np.maximum(0, -shift), np.minimum(sizes, lengths - shift)
+        matched = np.zeros(len(lines), np.int64)
+        for a, b in batches_of(end - begin, COMPARED):
+            owner, at = spread(end[a:b] - begin[a:b])
+            owner += a
+            at += begin[owner]
+            same = self.hashes[self.first[item[owner]] + at] == hashes[first[document[owner]] + at + shift[owner]]
+            matched[a:b] = np.bincount(owner - a, same, b - a)
+        starts = np.concatenate([[0], np.flatnonzero(np.any(lines[1:, :2] != lines[:-1, :2], axis=1)) + 1])
+        some = (np.maximum.reduceat(matched, starts) >= RUN_WORDS) | (np.add.reduceat(matched, starts) >= MIN_OVERLAP * sizes[starts])
+        ends = np.append(starts[1:], len(lines))
+        return [lines[a:b] for a, b in zip(starts[some], ends[some], strict=True)]
+
+    def leaks(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, float]]]:
+        """Per document of a slice, the items that leaked into it and their overlaps."""
+        parsed = Texts(data, offsets, SEPARATES)
+        hashes = parsed.hashes(lower=True)
         out: dict[int, list[tuple[int, float]]] = {}
-        if found:
-            lines = np.unique(np.concatenate(found), axis=0)
-            change = np.any(lines[1:, :2] != lines[:-1, :2], axis=1)
-            for group in np.split(lines, np.flatnonzero(change) + 1):
-                document, item = int(group[0, 0]), int(group[0, 1])
-                wanted = self.hashes[self.first[item] : self.first[item + 1]]
-                own = hashes[parsed.first[document] : parsed.first[document + 1]]
-                if overlap := leaked(wanted, own, group[:, 2]):
-                    out.setdefault(document, []).append((int(self.ids[item]), overlap))
+        lines = self.diagonals(hashes, parsed.first)
+        for group in self.likely(lines, hashes, parsed.first) if len(lines) else []:
+            document, item = int(group[0, 0]), int(group[0, 1])
+            wanted = self.hashes[self.first[item] : self.first[item + 1]]
+            own = hashes[parsed.first[document] : parsed.first[document + 1]]
+            if overlap := leaked(wanted, own, group[:, 2]):
+                out.setdefault(document, []).append((int(self.ids[item]), overlap))
         for document, item in self.short_hits(hashes, parsed.first):
             out.setdefault(document, []).append((int(self.ids[item]), 1.0))
         return out
@@ -171,48 +240,61 @@ LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Struc
 ARROW_LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64())]))
 
 
-def _one_block(docs: DataFrame, items: DataFrame) -> DataFrame:
-    table = items.select(F.col("item_id").cast("long"), "text").toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((table["item_id"].to_numpy(), table["text"].to_pylist())))
-    schema = T.StructType([*docs.schema.fields, T.StructField("leaks", LEAK)])
+#: The index that this Python worker has built last.
+_BUILT: dict[str, Index] = {}
+
+
+def _built(token: str, sent: bytes) -> Index:
+    if token not in _BUILT:
+        _BUILT.clear()
+        ids, texts = pickle.loads(sent)
+        _BUILT[token] = Index(ids, pa.array(texts, pa.string()))
+    return _BUILT[token]
+
+
+def _pass(docs: DataFrame, items: DataFrame):
+    """``docs`` with the leaks of a block of ``items`` added to their ``leaks``, and the broadcast that it uses."""
+    table = items.toArrow()
+    token, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(pickle.dumps((table["item_id"].to_numpy(), table["text"].to_pylist())))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = pickle.loads(sent.value)
-        index = Index(ids, pa.array(texts, pa.string()))
+        index = _built(token, sent.value)
         for batch in batches:
-            leaks: list = [[] for _ in range(batch.num_rows)]
-            for low, _, data, offsets in slices(batch.column(batch.schema.get_field_index("text"))):
+            names = batch.schema.names
+            leaks = batch.column(names.index("leaks")).to_pylist()
+            for low, _, data, offsets in slices(batch.column(names.index("text"))):
                 for k, found in index.leaks(data, offsets).items():
-                    best: dict[int, float] = {}
+                    best = {x["item_id"]: x["overlap"] for x in leaks[low + k]}
                     for item, overlap in found:
                         best[item] = max(overlap, best.get(item, 0.0))
                     leaks[low + k] = [{"item_id": i, "overlap": o} for i, o in sorted(best.items())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, ARROW_LEAK)], [*batch.schema.names, "leaks"])
+            columns = [pa.array(leaks, ARROW_LEAK) if n == "leaks" else c for n, c in zip(names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(checked, schema)
+    return docs.mapInArrow(checked, docs.schema), sent
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """``docs`` with ``leaks``: an array of (item_id, overlap), ascending by id."""
-    docs = docs.select(*(c for c in docs.columns if c.lower() != "leaks"))
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     # Every word takes a byte and a separator at least, so this bounds the index from above.
     size = items.agg(F.sum(F.floor((F.octet_length("text") + 1) / 2))).first()[0] or 0
     blocks = max(1, -(-int(size) // max_words))
-    if blocks == 1:
-        return _one_block(docs, items)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    found = docs
+    names = inner_names(docs.columns, "text")
+    found = docs.toDF(*names).withColumn("leaks", F.array().cast(LEAK))
     for k in range(blocks):
-        found = _one_block(found, items.where(block == k)).withColumnRenamed("leaks", f"_leaks{k}")
-    merged = F.concat(*(F.col(f"_leaks{k}") for k in range(blocks)))
-    best = F.transform(F.sort_array(F.array_distinct(F.transform(merged, lambda x: x["item_id"]))), lambda i: F.struct(i.alias("item_id"), F.array_max(F.transform(F.filter(merged, lambda x: x["item_id"] == i), lambda x: x["overlap"])).alias("overlap")))
-    return found.select(*docs.columns, best.alias("leaks"))
+        found, sent = _pass(found, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k))
+        if k < blocks - 1:
+            found = cut(found)
+            sent.unpersist()
+    return found.select(*outer_columns(docs.columns, names, ["leaks"]), "leaks")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak."""
-    return find_leaks(docs, benchmark).where(F.size("leaks") == 0).drop("leaks")
+    names = inner_names(docs.columns, "text")
+    found = find_leaks(docs.toDF(*names), benchmark).where(F.size("leaks") == 0)
+    return found.select(*outer_columns(docs.columns, names))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
