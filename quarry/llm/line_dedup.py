@@ -7,9 +7,12 @@ meet them in a sort-merge join whose two sides read shuffles directly, so adapti
 execution splits a hot hash over many tasks. Documents are rebuilt by position from the
 slices between dropped lines, in time linear in the document. No Python runs.
 
-Defined cases: a null or empty text is one empty line; a row with a null ``doc_id``
-counts for no line and loses none; rows that repeat a ``doc_id`` are one document, and
-each row is rebuilt by itself; an empty table gives no rows; further columns pass.
+Defined cases: a null or empty text is one empty line; very long texts are split and
+rebuilt like others; a row with a null ``doc_id`` counts for no line and loses none; rows
+that repeat a ``doc_id`` are one document, and each row is rebuilt by itself; of documents
+that share a line the smallest id keeps it, so there are no ties; an empty table gives no
+rows; further columns pass, whatever their names, but ``n_lines`` and ``n_dropped`` in any
+case are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._native import free_name, lower_ascii, strip_blanks
+from quarry.llm._native import inner_names, lower_ascii, outer_columns, strip_blanks
 from quarry.session import cut
 
 #: A key has at least this many code points, and counts as shared from this many documents on.
@@ -52,29 +55,27 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text`` rebuilt, and ``n_lines`` (before) and ``n_dropped``."""
-    keyed, shared = shared_lines(docs, min_chars, min_docs)
-    doc_key, row_key, gone = (free_name(docs.columns, c) for c in ("drop_doc", "drop_row", "drop_pos"))
+    names = inner_names(docs.columns, "doc_id", "text")
+    inner = docs.toDF(*names)
+    keyed, shared = shared_lines(inner, min_chars, min_docs)
     dropped = (
         keyed.join(shared, "hash")
         .where(F.col("doc_id") > F.col("keeper"))
-        .groupBy(F.col("doc_id").alias(doc_key), F.col("row").alias(row_key))
-        .agg(F.sort_array(F.collect_set("pos")).alias(gone))  # at most one document's lines
+        .groupBy(F.col("doc_id").alias("drop_doc"), F.col("row").alias("drop_row"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("gone"))  # at most one document's lines
     )
-    joined = docs.join(dropped, (docs["doc_id"] == F.col(doc_key)) & (F.xxhash64(docs["text"]) == F.col(row_key)), "left")
-    lines = _lines(docs["text"])
-    at = F.coalesce(F.col(gone), F.array().cast("array<int>"))
+    joined = inner.join(dropped, (F.col("doc_id") == F.col("drop_doc")) & (F.xxhash64("text") == F.col("drop_row")), "left")
+    joined = joined.withColumn("lines", _lines(F.col("text"))).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    at, lines = F.col("gone"), F.col("lines")
     edges = F.zip_with(
         F.concat(F.array(F.lit(-1)), at),
         F.concat(at, F.array(F.size(lines))),
         lambda a, b: F.struct((a + 2).alias("start"), (b - a - 1).alias("size")),
     )
-    kept = F.flatten(F.transform(edges, lambda e: F.slice(F.col(_ARRAY), e["start"], e["size"])))
-    made = {"n_lines": F.size(F.col(_ARRAY)).cast("long"), "n_dropped": F.size(at).cast("long")}
-    own = [F.when(F.size(at) == 0, F.coalesce(docs["text"], F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns if c not in made]
-    return joined.withColumn(_ARRAY, lines).select(*own, *(v.alias(k) for k, v in made.items()))
-
-
-_ARRAY = "_dedup_line_array"
+    kept = F.flatten(F.transform(edges, lambda e: F.slice(lines, e["start"], e["size"])))
+    text = F.when(F.size(at) == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    made = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.size(at).cast("long")}
+    return joined.select(*outer_columns(docs.columns, names, list(made), text=text), *(v.alias(k) for k, v in made.items()))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
