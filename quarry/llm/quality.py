@@ -3,17 +3,20 @@
 Each text gets two histograms: over character classes, and over common words of
 several languages (others together). References per language are the medians, bin by
 bin, of the histograms of all long enough documents that pass the base rules (medians,
-because a third of the rows may be one source's junk), gathered by partial aggregates:
-one for every value of ``lang`` that has ``MIN_DOCS`` such documents. A document whose Jensen-Shannon distance to its reference exceeds a
-threshold is rejected, unless it is too short for its histogram to mean anything.
-All is built-in functions: repeated word windows are found inside the row, first by a
-comparison of the counts of all and of distinct window hashes (64 bits), and only
-documents with repeats are sorted and measured.
-
-Defined cases: null or empty text has no words and fails the base rules; a null
-``lang``, or one with fewer than ``MIN_DOCS`` long enough documents, has no reference and
-rejects nothing by divergence; repeated rows are judged
-alike; an empty table gives no rows; other columns pass.
+because a third of the rows may be one source's junk; exact ones over shares rounded to
+``1 / GRID``, so their partial states are counts of ``GRID`` values at most and reruns
+agree): one for every value of ``lang`` that has ``MIN_DOCS`` such documents. A document
+whose Jensen-Shannon distance to its reference exceeds a threshold is rejected, unless it
+is too short for its histogram to mean anything. All is built-in functions: repeated word
+windows are found inside the row, first by a comparison of the counts of all and of
+distinct window hashes (64 bits), and only documents with repeats are sorted and measured.
+
+Defined cases: null or empty text has no words and fails the base rules; very long texts
+are measured whole; a null ``lang``, or one with fewer than ``MIN_DOCS`` long enough
+documents, has no reference and rejects nothing by divergence; a distance that equals a
+threshold passes; repeated rows are judged alike, and a null ``doc_id`` like any other; an
+empty table gives no rows; other columns pass, whatever their names, but those named like
+the added ones in any case are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._native import BLANKS, words
+from quarry.llm._native import BLANKS, inner_names, outer_columns, words
 from quarry.session import cut
 
 SYMBOLS = "[#*$%&|<>]+"
@@ -37,6 +40,8 @@ COMMON_WORDS = (
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Long enough documents that make a reference.
 MIN_DOCS = 10
+#: Steps of a share in a reference.
+GRID = 1000
 #: Distances (0 to 1) over which a document goes: of classes alone, or of both together.
 FAR_CLASSES, ODD_CLASSES, ODD_WORDS = 0.35, 0.2, 0.25
 
@@ -47,8 +52,9 @@ CLASSES = ("[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+", "[\\x21-\\x7E]+")
 
 def features(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with a struct ``quality``: the counts and both histograms."""
+    names = inner_names(docs.columns, "doc_id", "lang", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("_words", words(text))
+    df = docs.toDF(*names).withColumn("_words", words(text))
     df = df.withColumn("_chars", F.length(F.array_join("_words", "")))
     # Each step works on the little that the last one left; white space goes with the first.
     df = df.withColumn("_left0", F.regexp_replace(text, "[a-z\\x20\\x09-\\x0D]+", ""))
@@ -78,7 +84,7 @@ def features(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         share(F.array(*sizes), F.col("_chars")).alias("classes"),
         share(F.concat(counted, F.array(count - F.size("_common"))), count).alias("commons"),
     )
-    return df.select(*(F.col(c) for c in docs.columns if c.lower() != "quality"), quality.alias("quality"))
+    return df.select(*outer_columns(docs.columns, names, ["quality"]), quality.alias("quality"))
 
 
 def _neighbours(array: Column, with_next) -> Column:
@@ -109,8 +115,8 @@ def references(measured: DataFrame, min_chars: int = MIN_CHARS, min_words: int =
     full = measured.where(F.col("lang").isNotNull() & ~base_failed() & (q["word_chars"] >= min_chars) & (q["n_words"] >= min_words))
     of = F.col("lang").alias("of")
     widths = {"classes": len(CLASSES) + 2, "commons": len(COMMON_WORDS) + 1}
-    flat = full.select(of, *(q[h][i].alias(f"{h}{i}") for h, n in widths.items() for i in range(n)))
-    middle = flat.groupBy("of").agg(F.count("*").alias("n"), *(F.percentile_approx(f"{h}{i}", 0.5, 1000).alias(f"{h}{i}") for h, n in widths.items() for i in range(n))).where(F.col("n") >= min_docs)
+    flat = full.select(of, *((F.round(q[h][i] * GRID) / GRID).alias(f"{h}{i}") for h, n in widths.items() for i in range(n)))
+    middle = flat.groupBy("of").agg(F.count("*").alias("n"), *(F.percentile(f"{h}{i}", 0.5).alias(f"{h}{i}") for h, n in widths.items() for i in range(n))).where(F.col("n") >= min_docs)
     even = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda t, y: t + y))
     return middle.select("of", *(even(F.array(*(f"{h}{i}" for i in range(n)))).alias(f"ref_{h}") for h, n in widths.items()))
 
@@ -124,36 +130,39 @@ def distance(p: Column, r: Column) -> Column:
 
 def judge(measured: DataFrame, refs: DataFrame, far_classes: float = FAR_CLASSES, odd_classes: float = ODD_CLASSES, odd_words: float = ODD_WORDS) -> DataFrame:
     """Adds ``base_failed``, ``class_distance``, ``word_distance`` (null where guarded or without a reference) and ``kept``."""
-    own = [c for c in measured.columns if c.lower() not in ("of", "base_failed", "class_distance", "word_distance", "kept")]
-    q = F.col("quality")
+    added = ("base_failed", "class_distance", "word_distance", "kept")
+    names, q = inner_names(measured.columns, "lang", "quality"), F.col("quality")
     # As many rows as languages: broadcast by their size as written, not by a hint.
-    joined = measured.select(*own).join(refs, F.col("lang") == F.col("of"), "left")
+    joined = measured.toDF(*names).join(refs, F.col("lang") == F.col("of"), "left")
     judged = joined.select(
-        *own,
+        *names,
         base_failed().alias("base_failed"),
         F.when(F.col("of").isNotNull() & (q["word_chars"] >= MIN_CHARS), distance(q["classes"], F.col("ref_classes"))).alias("class_distance"),
         F.when(F.col("of").isNotNull() & (q["n_words"] >= MIN_WORDS), distance(q["commons"], F.col("ref_commons"))).alias("word_distance"),
     )
     classes, commons = (F.coalesce(F.col(f"{c}_distance"), F.lit(0.0)) for c in ("class", "word"))
     far = (classes > far_classes) | ((classes > odd_classes) & (commons > odd_words))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far).select(*outer_columns(measured.columns, names, added), *added)
 
 
 def verdicts(docs: DataFrame, texts: bool = False) -> DataFrame:
     """``docs`` (without ``text`` unless asked for) with ``quality`` and the verdict's parts.
 
     Features are written once; references and verdicts both read them."""
-    measured = features(docs)
+    names = inner_names(docs.columns, "doc_id", "lang", "text")
+    measured = features(docs.toDF(*names))
     measured = cut(measured if texts else measured.drop("text"))
-    return judge(measured, cut(references(measured)))
+    judged = judge(measured, cut(references(measured)))
+    added = [c for c in judged.columns if c not in names]
+    shown = [(c, i) for c, i in zip(docs.columns, names, strict=True) if texts or i != "text"]
+    return judged.select(*outer_columns([c for c, _ in shown], [i for _, i in shown], added), *added)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass. Texts are written beside their features, so that no
     text is shuffled or joined back, however many rows go."""
-    inner = [c if c in ("doc_id", "lang", "text") else f"_own{k}" for k, c in enumerate(docs.columns)]
-    found = verdicts(docs.toDF(*inner), texts=True).where("kept")
-    return found.select(*(F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)))
+    names = inner_names(docs.columns, "doc_id", "lang", "text")
+    return verdicts(docs.toDF(*names), texts=True).where("kept").select(*outer_columns(docs.columns, names))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
