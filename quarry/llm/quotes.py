@@ -5,24 +5,34 @@ paragraphs, whole runs of one level, and all of a level) are normalised and hash
 hash the earliest message whose own words hold the passage is its original, found by a
 partial aggregate, so the join of quotes to originals is many-to-one and a passage that
 thousands of messages quote makes no pairs. A message replies to the original of the
-longest passage it quotes at its shallowest linked level. Threads follow by pointer
-jumping over links (each round halves the distance to the root, and lineage is cut), and
-messages come out without quotes, ordered by ``conv_id, root_turn, turn``. All built-in
-functions; no group is collected beyond one message.
-
-Defined cases: null or empty text is an empty message; a quote whose original isn't an
-earlier turn of the same conversation stays unlinked, but is still taken off; a null
-``conv_id`` or ``turn`` neither links nor is linked to; rows that repeat a (conv_id,
-turn) share their links; an unlinked message is its own root at depth 0; an empty table
-gives no rows; other columns pass.
+longest passage it quotes at its shallowest linked level. Threads and reply order follow
+by pointer jumping (each round halves the distance to the end, and lineage is cut): a
+message's root and depth over its parents, then its position in the depth-first order of
+its thread (siblings by turn) as its rank in the list in which each message points to its
+first reply, or else to the next sibling of itself or of its nearest ancestor that has
+one. Messages come out without quotes, in the order of ``conv_id, root_turn, reply_pos``.
+All built-in functions; no group is collected beyond one message, and no window is over
+more than a range partition, so a conversation or a parent may hold a third of all rows.
+
+Defined cases: null or empty text is an empty message, and very long ones are parsed
+whole; a quote whose original isn't an earlier turn of the same conversation stays
+unlinked, and is still taken off; a message that links to nothing has the lines that were
+taken off it in ``unlinked`` (prompts and Markdown quotes look like quotes, so nothing is
+lost without a trace); of several originals the earliest counts, and of passages of one
+size at one level that of the latest original; a null ``conv_id`` or ``turn`` neither
+links nor is linked to; rows that repeat a (conv_id, turn) share their links and place; an
+unlinked message is its own root at depth and position 0; an empty table gives no rows;
+other columns pass, whatever their names, but those named like the added ones in any case
+are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm._native import BLANKS, lower_ascii
+from quarry.llm._native import BLANKS, inner_names, lower_ascii, outer_columns
 from quarry.session import cut
 
 MAX_ROUNDS = 64
@@ -82,40 +92,83 @@ def links(found: DataFrame) -> DataFrame:
     return matched.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct(-F.col("level"), F.col("size"), F.col("parent"))).alias("parent"))
 
 
-def threads(linked: DataFrame) -> DataFrame:
-    """``conv_id, turn, parent, root, depth`` by pointer jumping."""
-    at = cut(linked.select("conv_id", "turn", "parent", F.col("parent").alias("root"), F.lit(1).alias("depth")))
+def chase(at: DataFrame) -> DataFrame:
+    """``conv_id, node, end, steps``: follows each ``end`` that is a node itself to where it leads, adding up steps."""
+    at = cut(at.select("conv_id", "node", "end", "steps"))
     for _ in range(MAX_ROUNDS):
-        up = at.select(F.col("conv_id").alias("_of"), F.col("turn").alias("_at"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        moved = at.join(up, (F.col("conv_id") == F.col("_of")) & (F.col("root") == F.col("_at")), "left")
-        after = cut(moved.select("conv_id", "turn", "parent", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_at").isNotNull().alias("moved")))
-        going = after.where("moved").limit(1).count()
+        up = at.select(F.col("conv_id").alias("of"), F.col("node").alias("at"), F.col("end").alias("further"), F.col("steps").alias("more"))
+        moved = at.join(up, (F.col("conv_id") == F.col("of")) & (F.col("end") == F.col("at")), "left")
+        after = cut(moved.select("conv_id", "node", F.coalesce("further", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("at").isNotNull().alias("moved")))
         at = after.drop("moved")
-        if not going:
-            break
-    return at
+        if not after.where("moved").limit(1).count():
+            return at
+    raise RuntimeError(f"links not followed to their ends after {MAX_ROUNDS} rounds")
+
+
+def siblings(linked: DataFrame) -> DataFrame:
+    """``conv_id, turn, parent, sibling``: the next turn with the same parent, null for the last."""
+    order = ["conv_id", "parent", "turn"]
+    placed = cut(linked.select(*order).orderBy(*order).withColumn("part", F.spark_partition_id()))
+    row = F.struct(*order)
+    # A row per partition: where each begins, for the last row of the one before.
+    heads = cut(placed.groupBy("part").agg(F.min(row).alias("head")).select(F.col("part").alias("of"), F.lead("head").over(W.orderBy("part")).alias("head")))
+    within = F.lead(row).over(W.partitionBy("part").orderBy(*order))
+    after = F.coalesce(F.col("inner"), F.col("head"))
+    found = placed.withColumn("inner", within).join(heads, F.col("part") == F.col("of"))
+    return found.select(*order, F.when((after["conv_id"] == F.col("conv_id")) & (after["parent"] == F.col("parent")), after["turn"]).alias("sibling"))
+
+
+def threads(linked: DataFrame) -> DataFrame:
+    """``conv_id, turn, parent, root, depth, place`` of linked turns (``place`` in the depth-first order from the root)."""
+    linked = cut(linked)
+    tree = chase(linked.select("conv_id", F.col("turn").alias("node"), F.col("parent").alias("end"), F.lit(1).alias("steps")))
+    known = cut(siblings(linked))
+    last = known.where("sibling IS NULL").select("conv_id", F.col("turn").alias("node"), F.col("parent").alias("end"), F.lit(0).alias("steps"))
+    # From a last sibling up to the first ancestor that has a next sibling; a root has none.
+    up = chase(last).select("conv_id", "node", F.col("end").alias("turn"))
+    after = known.where("sibling IS NOT NULL").select("conv_id", "turn", "sibling")
+    over = after.withColumnRenamed("turn", "node").unionByName(up.join(after, ["conv_id", "turn"]).select("conv_id", "node", "sibling"))
+    replies = linked.groupBy("conv_id", F.col("parent").alias("node")).agg(F.min("turn").alias("reply"))
+    following = over.join(replies, ["conv_id", "node"], "full").select("conv_id", "node", F.coalesce("reply", "sibling").alias("end"), F.lit(1).alias("steps"))
+    left = cut(chase(following).select("conv_id", "node", "steps"))
+    of = lambda name, steps: left.select(F.col("conv_id").alias("of"), F.col("node").alias(name), F.col("steps").alias(steps))
+    own, roots = of("mine", "behind"), of("top", "whole")
+    placed = tree.join(own, (F.col("conv_id") == F.col("of")) & (F.col("node") == F.col("mine")), "left").drop("of")
+    placed = placed.join(roots, (F.col("conv_id") == F.col("of")) & (F.col("end") == F.col("top")), "left").drop("of")
+    placed = placed.select("conv_id", F.col("node").alias("turn"), F.col("end").alias("root"), F.col("steps").alias("depth"), (F.col("whole") - F.coalesce("behind", F.lit(0))).alias("place"))
+    return cut(placed.join(linked, ["conv_id", "turn"]))
+
+
+ADDED = ("reply_to", "root_turn", "depth", "reply_pos", "n_quoted", "unlinked")
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
-    """``messages`` with ``text`` freed of quotes, ``reply_to``, ``root_turn``, ``depth`` and ``n_quoted`` lines."""
-    own = [c for c in messages.columns if c.lower() not in ("reply_to", "root_turn", "depth", "n_quoted")]
-    found = parsed(messages.select(*own))
-    tree = threads(links(found)).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "parent", F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+    """``messages`` with ``text`` freed of quotes, ``reply_to``, ``root_turn``, ``depth``,
+    ``reply_pos`` (in its thread, from 0), ``n_quoted`` lines, and ``unlinked``: the
+    quoted lines of a message that links to nothing, as they stood."""
+    names = inner_names(messages.columns, "conv_id", "turn", "text")
+    found = parsed(messages.toDF(*names))
+    tree = threads(links(found)).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "parent", F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("place").alias("_place"))
     joined = found.join(tree, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
-    return joined.select(
-        *(F.col("own").alias("text") if c == "text" else F.col(c) for c in own),
-        F.col("parent").alias("reply_to"),
-        F.coalesce("_root", "turn").alias("root_turn"),
-        F.coalesce("_depth", F.lit(0)).cast("long").alias("depth"),
-        F.size(F.filter("_lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"),
+    taken = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_PREFIX)), "\n")
+    added = (
+        F.col("parent"),
+        F.coalesce("_root", "turn"),
+        F.coalesce("_depth", F.lit(0)).cast("long"),
+        F.coalesce("_place", F.lit(0)).cast("long"),
+        F.size(F.filter("_lines", lambda x: x["level"] > 0)).cast("long"),
+        F.when(F.col("parent").isNull(), F.coalesce(taken, F.lit(""))).otherwise(F.lit("")),
     )
+    return joined.select(*outer_columns(messages.columns, names, ADDED, text=F.col("own")), *(v.alias(k) for k, v in zip(ADDED, added, strict=True)))
 
 
-def ordered(linked: DataFrame) -> DataFrame:
-    """Reply order: threads by their first turn, a thread's messages by turn."""
-    return linked.orderBy("conv_id", "root_turn", "turn")
+def conversations(messages: DataFrame) -> DataFrame:
+    """:func:`link_quotations` in reply order: a conversation's threads by their first
+    turn, a thread depth-first. The order is a range partitioning of single messages."""
+    linked = link_quotations(messages)
+    return linked.orderBy("conv_id", "root_turn", "reply_pos", "turn")
 
 
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return link_quotations(messages)
+    return conversations(messages)
