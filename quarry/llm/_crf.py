@@ -15,6 +15,8 @@ import numpy as np
 from quarry.llm._words import SEPARATES, Texts, byte_codes, rolling
 
 BITS, WIDTH = 18, 128
+#: Words whose recursions are held at once in training.
+CHUNK = 1 << 17
 #: Prefixes of a word in bytes; 0 is the word itself.
 PREFIXES = (0, 4, 5, 6, 7, 8)
 
@@ -102,25 +104,34 @@ class Field:
         moves = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         return p1, moves, np.array([(1 - p1[starts]).sum(), p1[starts].sum()])
 
-    def fit(self, features: np.ndarray, starts: np.ndarray, labels: np.ndarray, rounds: int = 20, rate: float = 0.3, decay: float = 1e-4) -> Field:
-        """Full-batch Adagrad on the conditional log likelihood of the labels."""
-        y = labels.astype(float)
-        inner = np.ones(len(y), bool)
+    def fit(self, features: np.ndarray, starts: np.ndarray, labels: np.ndarray, rounds: int = 20, rate: float = 0.3, decay: float = 1e-4, chunk: int = CHUNK) -> Field:
+        """Full-batch Adagrad on the conditional log likelihood of the labels. Documents are
+        gone through in chunks of about ``chunk`` words, which bounds what is held at once."""
+        n = len(features)
+        inner = np.ones(n, bool)
         inner[starts] = False
         at = np.flatnonzero(inner)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (labels[at - 1].astype(int), labels[at].astype(int)), 1)
-        begun = np.array([(1 - y[starts]).sum(), y[starts].sum()])
+        seen = np.bincount(2 * labels[at - 1] + labels[at], minlength=4).reshape(2, 2).astype(float)
+        begun = np.array([(~labels[starts]).sum(), labels[starts].sum()], float)
         self.bias = 0.0
         self.moves = np.log((seen + 1) / (seen + 1).sum(1, keepdims=True))
         self.first = np.log((begun + 1) / (begun + 1).sum())
+        edges = np.unique(starts[np.minimum(np.searchsorted(starts, np.arange(0, n, chunk)), len(starts) - 1)])
+        bounds = list(zip(edges, [*edges[1:], n], strict=True))
         square = np.full(len(self.weights), 1e-6)
         for _ in range(rounds):
-            p, moves, first = self.marginals(features, starts, True)
-            slope = np.bincount(features.ravel(), np.repeat(y - p, features.shape[1]), len(self.weights)) - decay * self.weights
+            slope, moves, first = -decay * self.weights.astype(float), np.zeros((2, 2)), np.zeros(2)
+            for low, high in bounds:
+                own = features[low:high]
+                mine = starts[np.searchsorted(starts, low) : np.searchsorted(starts, high)] - low
+                p, m, f = self.marginals(own, mine, True)
+                miss = labels[low:high] - p
+                for column in own.T:
+                    slope += np.bincount(column, miss, len(slope))
+                moves += m
+                first += f
             square += slope**2
             self.weights += (rate * slope / np.sqrt(square)).astype(np.float32)
             self.moves += 0.1 * (seen - moves) / (seen.sum(1, keepdims=True) + 1)
             self.first += 0.1 * (begun - first) / (begun.sum() + 1)
         return self
-
