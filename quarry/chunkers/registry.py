@@ -100,7 +100,7 @@ def markdown_chunks(files: DataFrame) -> DataFrame:
 
 
 def html_blocks(files: DataFrame) -> DataFrame:
-    return boundary_chunks(files, r"(?i)<(?:h[1-6]|section|article|script|style|div)", F.concat(F.lit("block@"), (F.col("pos") + 1).cast("string")), F.lit("block"))
+    return boundary_chunks(files, r"(?i)<(?:h[1-6]|section|article|script|style|div)(?:[\t\n\f\r ]|>|/)", F.concat(F.lit("block@"), (F.col("pos") + 1).cast("string")), F.lit("block"))
 
 
 def section_chunks(files: DataFrame, pattern: str = r"^\[\[*([^\]]+)\]\]?") -> DataFrame:

@@ -46,23 +46,23 @@ def windows(path: str, lines: list[str]) -> list[Span]:
 
 
 def balanced(lines: list[str], start: int, opening: str = "{", closing: str = "}", stop: str = "") -> int | None:
-    """Index of the first line at whose end all opened brackets are closed; None if none ever opens.
-
-    ``stop`` is a character that ends the construct before any bracket."""
-    depth, opened = 0, False
+    """Index of the first line from ``start`` at whose end nothing is open after something was; None if nothing ever opens.
+
+    With ``stop``, a character that ends a construct before its first bracket, either must
+    come by the next line; else the construct is its first line."""
+    level, steps = 0, {c: 1 for c in opening} | {c: -1 for c in closing}
+    head = "\n".join(lines[start : start + 2] if stop else lines[start:])
+    first = next((k for k, c in enumerate(head) if c in opening or c == stop), None)
+    if first is None:
+        return start if stop else None
+    begun = start + head.count("\n", 0, first)
+    if head[first] == stop:
+        return begun
     for j in range(start, len(lines)):
-        for c in lines[j]:
-            if c in opening:
-                depth, opened = depth + 1, True
-            elif c in closing:
-                depth -= 1
-            elif c == stop and not opened:
-                return j
-        if opened and depth <= 0:
+        level += sum(steps.get(c, 0) for c in lines[j])
+        if level <= 0 and j >= begun:
             return j
-        if stop and not opened and j > start:
-            return start
-    return len(lines) - 1 if opened else None
+    return len(lines) - 1
 
 
 def outermost(found: list[tuple[int, int, Span]], swallow: Callable[[Span], bool] = lambda s: True) -> list[Span]:
@@ -126,7 +126,7 @@ CSS_RULE = re.compile(r"([^{]+)\{")
 SHELL_RULE = re.compile(r"\s*(?:function\s+)?([A-Za-z_]\w*)\s*\(\)", re.A)
 JSON_RULE = re.compile(r'\s*"([^"]+)"\s*:\s*[{\[]')
 HEADING = re.compile(r"(#{1,6})\s+(.+)$", re.A)
-HTML_BLOCK = re.compile(r"<(?:h[1-6]|section|article|script|style|div)")
+HTML_BLOCK = re.compile(r"<(?:h[1-6]|section|article|script|style|div)(?:[\t\n\f\r ]|>|/)")
 YAML_KEY, YAML_BREAK = re.compile(r"([A-Za-z_]\w*)\s*:", re.A), re.compile(r"---\s*$", re.A)
 TOML_SECTION, INI_SECTION = re.compile(r"\[\[*([^\]]+)\]\]?"), re.compile(r"\[([^\]]+)\]")
 GO_FUNC = re.compile(r"func\s+(\([^)]*\)\s*)?([A-Za-z_]\w*)", re.A)
@@ -141,7 +141,6 @@ def javascript(path: str, lines: list[str]) -> list[Span]:
     found = []
     for i, name, kind in scan(lines, JS_RULES, JS_KEYWORDS):
         end = balanced(lines, i, stop=";")
-        end = len(lines) - 1 if end is None else end
         doc = comment_above(lines, i) or (comment_above(lines, i, 6) if kind == "component" else "")
         found.append((i, end, Span(i + 1, end + 1, name or stem_of(path), kind, lines[i].strip(), doc)))
     return outermost(found, lambda s: s.kind != "component")
@@ -169,8 +168,7 @@ def vue(path: str, lines: list[str]) -> list[Span]:
 def qml(path: str, lines: list[str]) -> list[Span]:
     found = []
     for i, name, kind in scan(lines, QML_RULES):
-        end = balanced(lines, i) if "{" in lines[i] or kind in ("function", "component") else i
-        end = i if end is None else end
+        end = balanced(lines, i, stop=";")
         found.append((i, end, Span(i + 1, end + 1, name, kind, lines[i].strip(), comment_above(lines, i))))
     return outermost(found)
 
@@ -221,7 +219,7 @@ def markdown(path: str, lines: list[str]) -> list[Span]:
 
 
 def html(path: str, lines: list[str]) -> list[Span]:
-    starts = [(i, Span(0, 0, f"block@{i + 1}", "block", x.strip())) for i, x in enumerate(lines) if HTML_BLOCK.search(x.lower())]
+    starts = [(i, Span(0, 0, f"block@{i + 1}", "block")) for i, x in enumerate(lines) if HTML_BLOCK.search(x.lower())]
     return until_next(starts, len(lines))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,14 @@ def get_session(app: str = "quarry", master: str | None = None, **conf: object)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary folder of our own where that is unset (single-machine tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is
+    unset a local master, whose executors are on this machine, gets a temporary folder of
+    our own; any other must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} share")
         named = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -47,12 +52,18 @@ def cut(df: DataFrame) -> DataFrame:
     and the optimizer sees the true size. The files go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, kind: str = "quarry") -> str:
+    """A new path in the shared folder, which goes when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def release() -> None:
     """Deletes what :func:`cut` has written; results built on it must be used before."""
     while _written:

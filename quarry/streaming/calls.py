@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.chunkers.registry import chunk_files
-from quarry.session import shared_folder
+from quarry.session import cut, scratch
+from quarry.sources.store import Store
 
 
 def windowed_calls(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -22,7 +21,7 @@ def windowed_calls(events: DataFrame, width: str = "1 hour", late: str = "10 min
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now, into the shared folder, and returns the result."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, f"stream-{name}")
 
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out")
@@ -32,11 +31,17 @@ def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def index_arrivals(spark: SparkSession, incoming: str, folder: str, state: str) -> None:
-    """Chunks files that have arrived since the last run (rows of file_path, content as Parquet)."""
+def index_arrivals(spark: SparkSession, incoming: str, store: Store, project: str, state: str) -> None:
+    """Chunks files that have arrived since the last run (rows of file_path, content as
+    Parquet) into a project's tables. A file that is there already is replaced, so a batch
+    that is tried again, or a file that changed, leaves nothing twice."""
     stream = spark.readStream.schema("file_path string, content string").parquet(incoming)
 
     def upsert(batch: DataFrame, _: int) -> None:
-        chunk_files(batch).write.mode("append").parquet(folder)
+        arrived = cut(batch.groupBy("file_path").agg(F.max("content").alias("content")).withColumn("hash", F.sha2(F.col("content").cast("binary"), 256)))
+        chunks, files = store.read(project)
+        gone = arrived.select("file_path")
+        kept = chunks.join(gone, "file_path", "left_anti").unionByName(chunk_files(arrived))
+        store.rewrite(project, kept, files.join(gone, "file_path", "left_anti").unionByName(arrived.select("file_path", "hash")))
 
     stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(upsert).start().awaitTermination()
