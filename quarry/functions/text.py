@@ -41,6 +41,7 @@ LEXICON = {
 }
 #: Words up to this length stay whole, and a cut leaves at least MIN_STEM.
 WHOLE, MIN_STEM = 4, 3
+BYTES_PER_TOKEN = 4
 
 IDENT = r"[\p{L}\p{Nd}_]+"
 BOUNDARY = r"(?<=\p{Nd})(?=\P{Nd})|(?<=\P{Nd})(?=\p{Nd})|(?<=[^\p{Lu}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
@@ -53,10 +54,16 @@ def idents(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENT), F.lit(0))
 
 
-def stem(word: Column) -> Column:
-    """One suffix off: the first of its list that leaves three characters; by a CASE, not a pattern, for order is not longest match."""
+def without_reflexive(word: Column) -> Column:
     reflexive = reduce(lambda a, b: a | b, (F.endswith(word, F.lit(s)) for s in REFLEXIVE))
-    base = F.when(reflexive, F.left(word, F.length(word) - 2)).otherwise(word)
+    return F.when(reflexive, F.left(word, F.length(word) - 2)).otherwise(word)
+
+
+def stem(word: Column, base: Column | None = None) -> Column:
+    """One suffix off: the first of its list that leaves three characters; by a CASE, not a pattern, for order is not longest match.
+
+    ``base`` is the word :func:`without_reflexive` where that is a column already, so that each test reads it."""
+    base = without_reflexive(word) if base is None else base
 
     def first(suffixes: list[str]) -> Column:
         case = None
@@ -115,8 +122,9 @@ def grep_terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)), lambda t: F.length(t) > 3)
 
 
-def token_estimate(text: Column) -> Column:
-    return F.expr("1") * F.floor(F.octet_length(text) / 4)
+def token_estimate(n_bytes: Column) -> Column:
+    """Tokens that so many bytes stand for: a quarter, rounded down."""
+    return F.floor(n_bytes / BYTES_PER_TOKEN).cast("long")
 
 
 def strip_code(line: Column, language: Column) -> Column:

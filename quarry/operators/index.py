@@ -1,47 +1,58 @@
 """The inverted index: postings and corpus statistics of a table of chunks.
 
 Chunks have ``chunk_id, file_path, language, start_line, end_line, symbol_name, kind,
-signature, doc, content``. Tokens are exploded once, with the weight of their field, and
-reduced on the map side by the shuffle to ``(chunk_id, term)``.
+signature, doc, content``. Identifiers are counted per chunk and field first (all of a
+chunk's are in one task, so the map side does it); only distinct identifiers of the whole
+corpus are split and stemmed, and the small vocabulary is joined back.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import PLAIN, folded_tokens, idents, stem
+from quarry.functions.text import PLAIN, folded_tokens, idents, stem, without_reflexive
 
-#: Weight of a field's tokens.
+#: Weight of a field's tokens, and points of a query term that is found in it.
 FIELDS = {"symbol_name": 3, "file_path": 2, "signature": 1, "doc": 1, "content": 1}
+POINTS = {"symbol_name": 3, "file_path": 1, "signature": 2, "doc": 1, "content": 1}
 
 
-def field_tokens(chunks: DataFrame, fields: dict[str, int] | None = None) -> DataFrame:
-    """``chunk_id, field, weight, term``, a row per token."""
-    fields = fields or FIELDS
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f, w in fields.items()))
-    words = chunks.select("chunk_id", F.explode(parts).alias("p")).select("chunk_id", "p.field", "p.weight", F.explode(idents(F.col("p.text"))).alias("ident"))
-    # Lower case and stem are columns of their own, so that each is evaluated once, in generated code.
-    stemmed = words.withColumn("low", F.lower("ident")).withColumn("cut", stem(F.col("low")))
+def field_idents(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, ident, weight, points``: each identifier of a chunk with the weights of its occurrences summed, and its best field's points."""
+    parts = F.array(*(F.struct(F.lit(w).alias("weight"), F.lit(POINTS[f]).alias("points"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f, w in FIELDS.items()))
+    words = chunks.select("chunk_id", F.explode(parts).alias("p")).select("chunk_id", "p.weight", "p.points", F.explode(idents(F.col("p.text"))).alias("ident"))
+    return words.groupBy("chunk_id", "ident").agg(F.sum("weight").alias("weight"), F.max("points").alias("points"))
+
+
+def vocabulary(words: DataFrame) -> DataFrame:
+    """``ident, term, times``: the terms of each distinct identifier, and how often it gives them."""
+    # Lower case and base are columns of their own, so that each is evaluated once, in generated code.
+    known = words.select("ident").distinct().withColumn("low", F.lower("ident")).withColumn("base", without_reflexive(F.col("low")))
+    known = known.withColumn("cut", stem(F.col("low"), F.col("base")))
     plain = F.when(F.col("cut") == F.col("low"), F.array("low")).otherwise(F.array("low", "cut"))
     tokens = F.when(F.rlike("ident", F.lit(PLAIN)), plain).otherwise(folded_tokens(F.col("ident")))
-    return stemmed.select("chunk_id", "field", "weight", F.explode(tokens).alias("term"))
+    # Terms of one identifier repeat seldom; a row each is summed with all others of the chunk.
+    return known.select("ident", F.explode(tokens).alias("term"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, term, tf``: one row per chunk and term."""
-    return field_tokens(chunks).groupBy("chunk_id", "term").agg(F.sum("weight").cast("long").alias("tf"))
+    """``chunk_id, term, tf, points``: one row per chunk and term."""
+    words = field_idents(chunks)
+    return words.join(vocabulary(words), "ident").groupBy("chunk_id", "term").agg(F.sum("weight").cast("long").alias("tf"), F.max("points").alias("points"))
 
 
 def doc_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("chunk_id").agg(F.sum("tf").alias("dlen"))
 
 
-def corpus_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
+def corpus_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """One row: ``n_chunks, avgdl``; a chunk without tokens counts with length 0."""
-    return chunks.agg(F.count("*").alias("n_chunks")).join(F.broadcast(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))), F.lit(True)).select("n_chunks", F.when(F.col("n_chunks") > 0, F.col("total") / F.col("n_chunks")).otherwise(F.lit(0.0)).alias("avgdl"))
+    total = docs.agg(F.coalesce(F.sum("dlen"), F.lit(0)).alias("total"))
+    return chunks.agg(F.count("*").alias("n_chunks")).join(F.broadcast(total), F.lit(True)).select("n_chunks", F.when(F.col("n_chunks") > 0, F.col("total") / F.col("n_chunks")).otherwise(F.lit(0.0)).alias("avgdl"))
 
 
 def idf(n: str = "n_chunks", df: str = "df"):
@@ -62,17 +73,31 @@ def weights(post: DataFrame, terms: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """The tables that searches read."""
+    """The tables that searches read. ``keep`` writes what several of them derive from."""
 
     chunks: DataFrame
     postings: DataFrame
-    corpus: DataFrame
-    terms: DataFrame
-    docs: DataFrame
+    keep: object = lambda df: df
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return self.keep(doc_stats(self.postings))
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        return corpus_stats(self.chunks, self.docs)
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return self.keep(term_stats(self.postings, self.corpus))
+
+    @cached_property
+    def norms(self) -> DataFrame:
+        """``chunk_id, norm``: lengths of the tf-idf vectors; only the cosine needs them."""
+        raw = self.postings.join(self.terms.select("term", "idf"), "term")
+        return self.keep(raw.groupBy("chunk_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm")))
 
 
 def build(chunks: DataFrame, keep=lambda df: df) -> Index:
     """``keep`` may persist or write the postings, which every other table derives from."""
-    post = keep(postings(chunks))
-    corpus = corpus_stats(chunks, post)
-    return Index(chunks, post, corpus, term_stats(post, corpus), doc_stats(post))
+    return Index(chunks, keep(postings(chunks)), keep)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import lines_of, strip_code
@@ -30,10 +31,11 @@ def all_references(files: DataFrame, name: str) -> DataFrame:
     return lines.where(F.contains("text", F.lit(name)) & bare.rlike(word_pattern(name))).select("file_path", (F.col("pos") + 1).alias("line"), F.trim("text").alias("text"))
 
 
-def find_references(files: DataFrame, name: str, limit: int = MAX_REFERENCES) -> tuple[DataFrame, Column]:
-    """The first references by file and line, one more than the limit if there are more."""
+def find_references(files: DataFrame, name: str, limit: int = MAX_REFERENCES) -> DataFrame:
+    """The first references by file and line; ``truncated`` says whether there are more."""
     found = all_references(files, name).orderBy("file_path", "line").limit(limit + 1)
-    return found, F.count("*") > limit
+    place = W.orderBy("file_path", "line")  # limit + 1 rows at most
+    return found.select("*", F.row_number().over(place).alias("place"), (F.count("*").over(W.partitionBy()) > limit).alias("truncated")).where(F.col("place") <= limit).drop("place")
 
 
 def read_span(files: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -72,11 +74,15 @@ def need_embedding(chunks: DataFrame, existing: DataFrame) -> DataFrame:
     return joined.where(F.col("_id").isNull() | ~F.col("hash").eqNullSafe(F.col("_hash")) | ~F.coalesce("_has", F.lit(False))).select(*chunks.columns)
 
 
-def resolve_project(projects: DataFrame, asked: str, default: str = "") -> DataFrame:
-    """The project a name stands for: exact, then any case, then path; blank means the default, else the first."""
-    name = asked.strip()
-    wanted = name or default
-    prio = F.when(F.col("name") == wanted, 0).when(F.lower("name") == wanted.lower(), 1).when(F.col("path") == wanted.rstrip("/"), 2)
-    if not name:
-        prio = F.coalesce(prio, F.lit(3))
-    return projects.withColumn("prio", prio).where(F.col("prio").isNotNull()).orderBy("prio", "pos").limit(1).select("name", "path")
+def resolve_projects(projects: DataFrame, asked: DataFrame, default: str = "") -> DataFrame:
+    """``asked, name, path``: the project (``name, path, pos``) that each name of ``asked``
+    stands for: exact, then any case, then path; blank means the default, else the first.
+    Names that no project has are left out."""
+    wanted = asked.select("asked", F.when(F.trim("asked") == "", F.lit(default)).otherwise(F.trim("asked")).alias("wanted"))
+    names = projects.select("name", "path", "pos")
+    ways = ((F.col("wanted") == F.col("name"), 0), (F.lower("wanted") == F.lower("name"), 1), (F.rtrim("wanted", F.lit("/")) == F.rtrim("path", F.lit("/")), 2))
+    found = [wanted.join(names, on).select("asked", F.lit(prio).alias("prio"), "pos", "name", "path") for on, prio in ways]
+    first = names.orderBy("pos").limit(1)
+    found.append(wanted.where(F.trim("asked") == "").join(F.broadcast(first), F.lit(True)).select("asked", F.lit(3).alias("prio"), "pos", "name", "path"))
+    rows = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    return rows.groupBy("asked").agg(F.min_by(F.struct("name", "path"), F.struct("prio", "pos")).alias("p")).select("asked", "p.name", "p.path")

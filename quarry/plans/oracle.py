@@ -152,8 +152,71 @@ METRICS = ", ".join(f"round(avg(CASE WHEN first_rank <= {k} THEN 1.0::DOUBLE ELS
 LINES = "string_split(replace({0}, chr(13) || chr(10), chr(10)), chr(10))"
 
 
+SHORT = "length(x) BETWEEN 1 AND 60"
+
+
+def changed_lines(how: str) -> str:
+    """Documents whose lines x (numbered i from 1) are changed."""
+    return f"(SELECT doc_id, source || '/doc_' || doc_id || '.txt' AS file_path, array_to_string(list_transform({LINES.format("coalesce(text, '')")}, lambda x, i: {how}), chr(10)) AS text FROM documents)"
+
+
 def boundaries(table: str, path: str, text: str, pattern: str, name: str, kind: str) -> str:
     lines = LINES.format(f"coalesce({text}, '')")
     return f"""WITH l AS (SELECT {path} AS file_path, len({lines}) AS n, unnest({lines}) AS line, unnest(range(1, len({lines}) + 1)) AS start_line FROM {table}),
 s AS (SELECT * FROM l WHERE regexp_matches(line, '{pattern}'))
 SELECT file_path, CAST(start_line AS INTEGER) AS start_line, CAST(coalesce(lead(start_line) OVER (PARTITION BY file_path ORDER BY start_line) - 1, n) AS INTEGER) AS end_line, {name} AS symbol_name, {kind} AS kind FROM s"""
+
+
+def hits_of(k: int, name: str) -> str:
+    """The kept hits of a blended search for k, and its gate."""
+    return f""", raw_{name} AS (SELECT * FROM {reranked(0.5, k)}),
+kept_{name} AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM raw_{name} QUALIFY rank = 1 OR score > greatest(0.5, top - 0.05)),
+gate_{name} AS (
+  SELECT query_id, 1 / (1 + exp(-(1.6 * s1 + 1.2 * (s1 - rest) - 1.5))) AS noul
+  FROM (SELECT query_id, max(score) FILTER (WHERE rank = 1) AS s1, coalesce(avg(score) FILTER (WHERE rank BETWEEN 2 AND 5), 0) AS rest FROM kept_{name} GROUP BY 1)),
+paid_{name} AS (
+  SELECT item_id AS query_id, coalesce(noul, 0) < 0.5 AS need_more,
+         ({len('{"query":,"need_more":,"noul":,"results":}')} + {json_bytes("coalesce(i.text, '')")} + CASE WHEN coalesce(noul, 0) < 0.5 THEN 4 ELSE 5 END + length({number("coalesce(noul, 0)")})
+          + CASE WHEN coalesce(n_raw, 0) = {k} OR coalesce(n, 0) < coalesce(n_raw, 0) THEN {len(',"more_available":true')} ELSE 0 END
+          + CASE WHEN coalesce(n, 0) = 0 THEN 4 ELSE bytes + n + 1 END) // 4 AS tokens, top_chunk
+  FROM benchmark i
+  LEFT JOIN (SELECT query_id, count(*) AS n_raw FROM raw_{name} GROUP BY 1) r ON r.query_id = i.item_id
+  LEFT JOIN (SELECT query_id, count(*) AS n, CAST(sum({HIT_BYTES}) AS BIGINT) AS bytes, max(CASE WHEN rank = 1 THEN chunk_id END) AS top_chunk FROM kept_{name} JOIN chunks USING (chunk_id) GROUP BY 1) s ON s.query_id = i.item_id
+  LEFT JOIN gate_{name} g ON g.query_id = i.item_id)"""
+
+
+def json_bytes(text: str) -> str:
+    return f"(strlen(CAST(to_json({text}) AS VARCHAR)) + 5 * len(regexp_extract_all({text}, '[<>&]')) + 3 * len(regexp_extract_all({text}, '[\u2028\u2029]')))"
+
+
+def number(value: str) -> str:
+    return f"CAST(CAST({value} AS DECIMAL(9, 6)) AS VARCHAR)"
+
+
+HIT_BYTES = (
+    str(len('{"file":,"start_line":,"end_line":,"symbol":,"kind":,"language":,"content":,"score":}') + len(',"signature":'))
+    + f" + 1 + length(CAST(end_line AS VARCHAR)) + length({number('score')}) + {json_bytes('file_path')} + 2 * {json_bytes('symbol_name')} + {len('file') + 2} + {len('text') + 2} + {json_bytes('content')}"
+)
+BENCH = (
+    FULL
+    + hits_of(5, "a")
+    + hits_of(10, "b")
+    + """,
+gterms AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'), lambda t: length(t) > 3)) AS ts FROM benchmark),
+grep AS (
+  SELECT query_id, sum(strlen(content) + list_sum(list_transform(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)),
+         lambda x, i: CASE WHEN len(list_filter(ts, lambda t: contains(lower(x), t))) > 0 THEN strlen(file_path) + length(CAST(i AS VARCHAR)) + strlen(x) + 4 ELSE 0 END))) AS bytes
+  FROM chunks, gterms WHERE len(list_filter(ts, lambda t: contains(lower(content), t))) > 0 GROUP BY 1),
+base AS (SELECT item_id AS query_id, CAST(floor(coalesce(bytes, (SELECT sum(strlen(content)) FROM chunks)) / 4) AS BIGINT) AS baseline FROM benchmark LEFT JOIN grep ON query_id = item_id),
+bench AS (
+  SELECT a.query_id, baseline, a.need_more, CAST(a.tokens + CASE WHEN a.need_more THEN b.tokens + coalesce(strlen(c.content) // 4, 0) ELSE 0 END AS BIGINT) AS rag,
+         round(baseline / CAST(a.tokens + CASE WHEN a.need_more THEN b.tokens + coalesce(strlen(c.content) // 4, 0) ELSE 0 END AS DOUBLE), 6) AS ratio
+  FROM base JOIN paid_a a USING (query_id) JOIN paid_b b USING (query_id) LEFT JOIN chunks c ON c.chunk_id = coalesce(b.top_chunk, a.top_chunk))"""
+)
+
+SPOKEN = f"""
+WITH RECURSIVE asked AS (
+  SELECT 'item:' || item_id AS item_id, coalesce(text, '') AS text FROM benchmark
+  UNION ALL SELECT 'talk:' || conv_id || ':' || turn, coalesce(text, '') FROM conversations),
+item_idents AS (SELECT item_id, unnest({IDENT.format("text")}) AS ident, unnest(range(len({IDENT.format("text")}))) AS pos FROM asked),
+{folded("item_idents")}""" + QTERMS

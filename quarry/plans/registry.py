@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.chunkers import registry as chunkers
 from quarry.functions import text as T
-from quarry.operators import decide, scoring, stats, tools
+from quarry.operators import decide, evaluate, scoring, stats, tools
 from quarry.operators import index as ix
+from quarry.operators import vectors as V
 from quarry.plans import corpus, fixtures
 from quarry.plans import oracle as O
 from quarry.session import cut
@@ -54,9 +56,9 @@ def stem_tokens(spark: SparkSession, d: str) -> DataFrame:
     return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
-@query(O.INDEX + O.QTERMS + " SELECT query_id, term FROM qterms")
+@query(O.SPOKEN + " SELECT query_id, term FROM qterms")
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.terms_of(corpus.queries(spark, d))
+    return scoring.terms_of(corpus.spoken(spark, d))
 
 
 # Index
@@ -64,7 +66,7 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(O.INDEX + " SELECT chunk_id, term, tf FROM postings")
 def term_freq(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.index(spark, d).postings
+    return corpus.index(spark, d).postings.select("chunk_id", "term", "tf")
 
 
 @query(O.INDEX + " SELECT chunk_id, dlen FROM docs")
@@ -159,20 +161,34 @@ def window_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.window_chunks(corpus.files(spark, d))
 
 
-@query(O.boundaries("documents", "source || '/doc_' || doc_id || '.txt'", "text", r"^(#{1,6})[\t\n\f\r ]+(.+)$", r"trim(regexp_extract(line, '^(#{1,6})[\t\n\f\r ]+(.+)$', 2))", r"'h' || length(regexp_extract(line, '^(#{1,6})[\t\n\f\r ]+(.+)$', 1))"))
+_HEADED = O.changed_lines(f"CASE WHEN {O.SHORT} THEN repeat('#', length(x) % 7) || ' ' || x ELSE x END")
+_HEADING = r"^(#{1,6})[\t\n\f\r ]+(.+)$"
+
+
+@query(O.boundaries(_HEADED, "file_path", "'# ' || file_path || chr(10) || text", _HEADING, rf"trim(regexp_extract(line, '{_HEADING}', 2))", rf"'h' || length(regexp_extract(line, '{_HEADING}', 1))"))
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunkers.markdown_chunks(corpus.files(spark, d))
+    return chunkers.markdown_chunks(corpus.headed(spark, d))
+
 
+@query(O.boundaries(O.changed_lines(f"CASE WHEN {O.SHORT} THEN '[' || translate(x, '[]', '()') || ']' ELSE x END"), "file_path", "text", r"^\[\[*([^\]]+)\]\]?", r"trim(regexp_extract(line, '^\[\[*([^\]]+)\]\]?', 1))", "'section'"))
+def section_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunkers.section_chunks(corpus.sectioned(spark, d))
 
-@query(O.boundaries("pages", "'page_' || page_id || '.html'", "html", "(?i)<(?:h[1-6]|section|article|script|style|div)", "'block@' || start_line", "'block'"))
+
+@query(O.boundaries("pages", "'page_' || page_id || '.html'", "html", r"(?i)<(?:h[1-6]|section|article|script|style|div)(?:[\t\n\f\r ]|>|/)", "'block@' || start_line", "'block'"))
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     pages = spark.read.parquet(f"{d}/pages.parquet")
     return chunkers.html_blocks(pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.coalesce("html", F.lit("")).alias("content")))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT 'src/doc_' || doc_id || '.py' AS file_path, " + O.LINES.format("coalesce(text, '')") + " AS l FROM documents), "
+    "f AS (SELECT file_path, unnest(list_transform(l, lambda x: replace(replace(replace(x, chr(92), ''), '\"', ''), chr(39), ''))) AS x, unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM p) "
+    "SELECT file_path || ':' || (3 * i - 2) || ':line_' || i AS chunk_id, file_path, 'python' AS language, CAST(3 * i - 2 AS INTEGER) AS start_line, CAST(3 * i AS INTEGER) AS end_line, 'line_' || i AS symbol_name, "
+    "'func' AS kind, 'def line_' || i || '()' AS signature, regexp_replace(x, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '', 'g') AS doc FROM f"
+)
 def chunk_code_files(spark: SparkSession, d: str) -> DataFrame:
-    return chunkers.chunk_files(fixtures.files(spark))
+    return chunkers.chunk_files(corpus.programs(spark, d)).drop("content", "hash")
 
 
 # Vectors
@@ -181,9 +197,25 @@ _VEC = "(SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label, q.label AS
 _NEAR = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {_VEC} QUALIFY rank <= 10)"
 
 
-def nearest(spark: SparkSession, d: str) -> DataFrame:
+def asked_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vectors = spark.read.parquet(f"{d}/embeddings.parquet")
-    return scoring.vector_topk(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), 10)
+    return vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+def nearest(spark: SparkSession, d: str) -> DataFrame:
+    return V.exact_topk(*asked_vectors(spark, d), 10)
+
+
+@query()
+def vector_ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    vectors, asked = asked_vectors(spark, d)
+    return shown(V.Lists(vectors).search(asked, 10))
+
+
+@query("SELECT count(*) AS n, true AS enough FROM " + _NEAR)
+def vector_ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    vectors, asked = asked_vectors(spark, d)
+    return V.recall(V.Lists(vectors).search(asked, 10), V.exact_topk(vectors, asked, 10)).select("n", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query(O.SHOW + _NEAR)
@@ -207,17 +239,22 @@ def find_symbol(spark: SparkSession, d: str) -> DataFrame:
 
 
 _REFS = (
-    "WITH l AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path, unnest(" + O.LINES.format("coalesce(text, '')") + ") AS line, unnest(range(1, 1 + len(" + O.LINES.format("coalesce(text, '')") + "))) AS no FROM documents), "
-    "b AS (SELECT *, string_split(regexp_replace(line, '`[^`]*`|\"(?:\\\\.|[^\"\\\\])*\"|''(?:\\\\.|[^''\\\\])*''', '', 'g'), '//')[1] AS bare FROM l) "
-    "SELECT file_path, CAST(no AS INTEGER) AS line, trim(line) AS text FROM b WHERE regexp_matches(bare, '(^|[^A-Za-z0-9_])token($|[^A-Za-z0-9_])')"
+    "WITH l AS (SELECT doc_id, source || '/doc_' || doc_id || '.txt' AS file_path, unnest(" + O.LINES.format("coalesce(text, '')") + ") AS line, unnest(range(1, 1 + len(" + O.LINES.format("coalesce(text, '')") + "))) AS no FROM documents), "
+    "b AS (SELECT *, string_split(regexp_replace(line, '`[^`]*`|\"(?:\\\\.|[^\"\\\\])*\"|''(?:\\\\.|[^''\\\\])*''', '', 'g'), CASE WHEN doc_id % 2 = 0 THEN '#' ELSE '//' END)[1] AS bare FROM l), r AS ("
+    "SELECT file_path, CAST(no AS INTEGER) AS line, trim(line) AS text FROM b WHERE regexp_matches(bare, '(^|[^A-Za-z0-9_])NAME($|[^A-Za-z0-9_])'))"
 )
 
 
-@query(_REFS)
-def find_references(spark: SparkSession, d: str) -> DataFrame:
+@query(_REFS.replace("NAME", "token") + " SELECT * FROM r")
+def all_references(spark: SparkSession, d: str) -> DataFrame:
     return tools.all_references(corpus.files(spark, d), "token")
 
 
+@query(_REFS.replace("NAME", "the") + " SELECT *, (SELECT count(*) FROM r) > 50 AS truncated FROM r ORDER BY file_path, line LIMIT 50")
+def find_references(spark: SparkSession, d: str) -> DataFrame:
+    return tools.find_references(corpus.files(spark, d), "the")
+
+
 @query("SELECT source || '/doc_' || doc_id || '.txt' AS file_path, CASE WHEN len(l) >= 2 THEN array_to_string(l[2:least(4, len(l))], chr(10)) END AS span FROM (SELECT *, " + O.LINES.format("coalesce(text, '')") + " AS l FROM documents)")
 def read_span(spark: SparkSession, d: str) -> DataFrame:
     return tools.read_span(corpus.files(spark, d), F.lit(2), F.lit(4))
@@ -269,17 +306,33 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return tools.upsert(before, changed, tools.removed(now, before), "file_path").select("file_path", "hash")
 
 
-@query(f"WITH {_BEFORE} SELECT n.file_path, n.hash FROM now n LEFT JOIN before b ON n.file_path = b.file_path WHERE b.file_path IS NULL OR b.hash <> n.hash")
+@query(f"WITH {_BEFORE}, toxic AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) SELECT n.file_path, n.hash FROM now n LEFT JOIN before b ON n.file_path = b.file_path WHERE b.file_path IS NULL OR b.hash <> n.hash OR n.file_path IN (SELECT file_path FROM toxic)")
 def embed_need(spark: SparkSession, d: str) -> DataFrame:
+    """Toxic documents were never embedded."""
     now, before = manifests(spark, d)
-    need = tools.need_embedding(now.withColumnRenamed("file_path", "chunk_id"), before.select(F.col("file_path").alias("chunk_id"), "hash", F.lit(True).alias("has_vector")))
-    return need.withColumnRenamed("chunk_id", "file_path")
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id")
+    toxic = corpus.files(spark, d).join(labels, "doc_id", "left_semi").select("file_path", F.lit(False).alias("has_vector"))
+    known = before.join(toxic, "file_path", "left").select(F.col("file_path").alias("chunk_id"), "hash", F.coalesce("has_vector", F.lit(True)).alias("has_vector"))
+    return tools.need_embedding(now.withColumnRenamed("file_path", "chunk_id"), known).withColumnRenamed("chunk_id", "file_path")
+
 
+_ASKED = "SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN ' ' || upper(source) || ' ' WHEN 2 THEN '/srv/' || source || '/' ELSE source || '-unknown' END AS asked FROM documents WHERE source IS NOT NULL UNION SELECT '' UNION SELECT '  '"
 
-@query("SELECT 'web' AS name, '/srv/web' AS path")
+
+@query(
+    f"WITH asked AS ({_ASKED}), p AS (SELECT source AS name, '/srv/' || source AS path, row_number() OVER (ORDER BY source) AS pos FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)), "
+    "w AS (SELECT asked, CASE WHEN trim(asked) = '' THEN 'nobody' ELSE trim(asked) END AS wanted FROM asked), "
+    "m AS (SELECT asked, name, path, pos, CASE WHEN wanted = name THEN 0 WHEN lower(wanted) = lower(name) THEN 1 WHEN rtrim(wanted, '/') = path THEN 2 WHEN trim(asked) = '' AND pos = 1 THEN 3 END AS prio FROM w, p) "
+    "SELECT asked, arg_min(name, (prio, pos)) AS name, arg_min(path, (prio, pos)) AS path FROM m WHERE prio IS NOT NULL GROUP BY asked"
+)
 def project_resolve(spark: SparkSession, d: str) -> DataFrame:
-    projects = spark.createDataFrame([("api", "/srv/api", 0), ("web", "/srv/web", 1)], "name string, path string, pos int")
-    return tools.resolve_project(projects, " WEB ", "api")
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("source IS NOT NULL").select("doc_id", "source")
+    names = docs.select("source").distinct().select(F.col("source").alias("name"), F.concat(F.lit("/srv/"), "source").alias("path"))
+    projects = names.withColumn("pos", F.row_number().over(W.orderBy("name")))  # a row per source
+    way = F.pmod("doc_id", F.lit(4))
+    spelled = F.when(way == 0, F.col("source")).when(way == 1, F.concat(F.lit(" "), F.upper("source"), F.lit(" "))).when(way == 2, F.concat(F.lit("/srv/"), "source", F.lit("/"))).otherwise(F.concat("source", F.lit("-unknown")))
+    asked = docs.select(spelled.alias("asked")).union(spark.createDataFrame([("",), ("  ",)], "asked string")).distinct()
+    return tools.resolve_projects(projects, asked, "nobody")
 
 
 # Evaluation and statistics
@@ -290,7 +343,7 @@ def first_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics() -> list:
-    return [F.round(c, 6).alias(n) for c, n in zip(stats.recall_mrr(None), ("recall_1", "recall_3", "recall_5", "mrr"), strict=True)]
+    return [F.round(c, 6).alias(n) for c, n in zip(stats.recall_mrr(), ("recall_1", "recall_3", "recall_5", "mrr"), strict=True)]
 
 
 @query(O.FULL + O.HITS + O.RELEVANT + f" SELECT count(*) AS n, {O.METRICS} FROM first")
@@ -298,39 +351,36 @@ def eval_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     return first_hits(spark, d).agg(F.count("*").alias("n"), *metrics())
 
 
-@query(O.FULL + O.HITS + O.RELEVANT + f", langs AS (SELECT query_id, min(lang) AS lang FROM relevant GROUP BY 1) SELECT lang, count(*) AS n, {O.METRICS} FROM first JOIN langs USING (query_id) GROUP BY GROUPING SETS ((), (lang))")
+@query(
+    O.FULL + O.HITS + O.RELEVANT + ", langs AS (SELECT query_id, min(lang) AS lang, CASE WHEN regexp_matches(any_value(text), '[^\\x00-\\x7F]') THEN 'accented' ELSE 'plain' END AS question_lang FROM relevant JOIN benchmark ON item_id = query_id GROUP BY 1) "
+    f"SELECT lang, question_lang, count(*) AS n, {O.METRICS} FROM first JOIN langs USING (query_id) GROUP BY GROUPING SETS ((), (lang), (question_lang))"
+)
 def eval_slices(spark: SparkSession, d: str) -> DataFrame:
-    langs = corpus.relevant(spark, d).groupBy("query_id").agg(F.min("lang").alias("lang"))
-    return first_hits(spark, d).join(langs, "query_id").groupingSets([[], ["lang"]], "lang").agg(F.count("*").alias("n"), *metrics())
-
-
-_BENCH = """,
-gterms AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'), lambda t: length(t) > 3)) AS ts FROM benchmark),
-grep AS (
-  SELECT query_id, sum(strlen(content) + list_sum(list_transform(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)),
-         lambda x, i: CASE WHEN len(list_filter(ts, lambda t: contains(lower(x), t))) > 0 THEN strlen(file_path) + length(CAST(i AS VARCHAR)) + strlen(x) + 4 ELSE 0 END))) AS bytes
-  FROM chunks, gterms WHERE len(list_filter(ts, lambda t: contains(lower(content), t))) > 0 GROUP BY 1),
-base AS (SELECT item_id AS query_id, CAST(floor(coalesce(bytes, (SELECT sum(strlen(content)) FROM chunks)) / 4) AS BIGINT) AS baseline FROM benchmark LEFT JOIN grep ON query_id = item_id),
-rag AS (SELECT query_id, CAST(floor(sum(strlen(content)) / 4) AS BIGINT) AS rag FROM kept JOIN chunks USING (chunk_id) GROUP BY 1),
-bench AS (SELECT query_id, baseline, rag, round(baseline / rag::DOUBLE, 6) AS ratio FROM base JOIN rag USING (query_id) WHERE rag > 0)"""
+    """By the language of the documents, and by the letters of the question."""
+    letters = F.when(F.octet_length("query") > F.length("query"), "accented").otherwise("plain")
+    asked = corpus.queries(spark, d).select("query_id", letters.alias("question_lang"))
+    langs = corpus.relevant(spark, d).groupBy("query_id").agg(F.min("lang").alias("lang")).join(asked, "query_id")
+    return first_hits(spark, d).join(langs, "query_id").groupingSets([[], ["lang"], ["question_lang"]], "lang", "question_lang").agg(F.count("*").alias("n"), *metrics())
 
 
 def bench_rows(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus.chunks(spark, d)
-    kept = decide.filter_relevant(blended(spark, d)).join(chunks.select("chunk_id", "content"), "chunk_id")
-    rag = kept.groupBy("query_id").agg(F.floor(F.sum(F.octet_length("content")) / 4).cast("long").alias("rag")).where("rag > 0")
-    base = stats.grep_cost(corpus.queries(spark, d), corpus.files(spark, d)).withColumnRenamed("tokens", "baseline")
-    return base.join(rag, "query_id").select("query_id", "baseline", "rag", F.round(F.col("baseline") / F.col("rag"), 6).alias("ratio"))
+    index = corpus.index(spark, d)
+    return evaluate.token_bench(index, corpus.queries(spark, d), corpus.files(spark, d), K).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(O.FULL + O.HITS + _BENCH + " SELECT query_id, baseline, rag, ratio FROM bench")
+@query(O.BENCH + " SELECT query_id, baseline, rag, ratio, need_more FROM bench")
 def token_bench(spark: SparkSession, d: str) -> DataFrame:
     return bench_rows(spark, d)
 
 
-@query(O.FULL + O.HITS + _BENCH + " SELECT count(*) AS n, round(avg(ratio), 4) AS mean_ratio, round(median(ratio), 4) AS median_ratio FROM bench")
+@query(O.BENCH + " SELECT count(*) AS n, round(avg(ratio), 4) AS mean_ratio, round(median(ratio), 4) AS median_ratio FROM bench")
 def token_bench_summary(spark: SparkSession, d: str) -> DataFrame:
-    return bench_rows(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 4).alias("mean_ratio"), F.round(F.median("ratio"), 4).alias("median_ratio"))
+    return evaluate.mean_median(bench_rows(spark, d)).select("n", F.round("mean_ratio", 4).alias("mean_ratio"), F.round("median_ratio", 4).alias("median_ratio"))
+
+
+@query(O.BENCH + " SELECT query_id, baseline AS tokens FROM base")
+def grep_cost(spark: SparkSession, d: str) -> DataFrame:
+    return stats.grep_cost(corpus.queries(spark, d), corpus.files(spark, d))
 
 
 _CALLS = "(SELECT event_id, ts, event_type AS tool, value AS latency_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS response_bytes FROM events)"
@@ -352,9 +402,18 @@ def call_stats_by_tool(spark: SparkSession, d: str) -> DataFrame:
     return rounded_calls(spark, d)
 
 
-@query(f"SELECT event_id, tool, latency_ms, response_bytes FROM {_CALLS} ORDER BY ts DESC, event_id DESC LIMIT 10")
+def _last(n: int, way: str) -> str:
+    return f"SELECT CAST(row_number() OVER (ORDER BY ts {way}, event_id {way}) AS INTEGER) AS place, event_id, tool, latency_ms, response_bytes FROM (SELECT * FROM {_CALLS} ORDER BY ts DESC, event_id DESC LIMIT {n})"
+
+
+@query(_last(10, "DESC"))
 def recent_calls(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.calls(spark, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "tool", "latency_ms", "response_bytes")
+    return evaluate.last_calls(corpus.calls(spark, d), 10).select("place", "event_id", "tool", "latency_ms", "response_bytes")
+
+
+@query(_last(200, "ASC"))
+def call_series(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.last_calls(corpus.calls(spark, d), 200, newest_first=False).select("place", "event_id", "tool", "latency_ms", "response_bytes")
 
 
 @query("WITH c AS (SELECT CASE WHEN trim(coalesce(source, '')) = '' THEN 'other' ELSE source END AS v, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS place FROM c) SELECT CASE WHEN place <= 8 THEN v ELSE 'прочее' END AS name, CAST(sum(n) AS BIGINT) AS count FROM r GROUP BY 1")

@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 
 from quarry.chunkers.registry import chunk_files
 from quarry.operators import decide, index, scoring, tools
+from quarry.service.degrade import Reranker
+from quarry.service.jobs import Jobs
 from quarry.session import cut
+from quarry.sources.config import Project, find_project
+from quarry.sources.store import Store, summary
 
 PROTOCOL, VERSION = "2024-11-05", "0.1"
 PARSE_ERROR, NO_METHOD, BAD_PARAMS = -32700, -32601, -32602
@@ -35,49 +39,74 @@ TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
 
 
 class Service:
-    """Projects are (name, path); ``load`` gives the files (file_path, language, content) of a path."""
-
-    def __init__(self, spark: SparkSession, projects: list[tuple[str, str]], load: Callable[[str], DataFrame], default: str = "", log: TextIO | None = None):
-        self.spark, self.projects, self.load, self.default, self.log = spark, projects, load, default, log
+    """Projects are (name, path); ``load`` gives the files (file_path, language, hash,
+    content) of a path. With a ``store``, indexes are kept there and brought up to date by
+    what has changed; else they are built anew. ``scorer`` may be another than the
+    heuristic one (see ``scoring.rerank``)."""
+
+    def __init__(self, spark: SparkSession, projects: list[tuple[str, str]], load: Callable[[str], DataFrame], default: str = "", log: TextIO | None = None, store: Store | None = None, scorer=scoring.heuristic_scores):
+        self.spark, self.load, self.default, self.log, self.store, self.scorer = spark, load, default, log, store, scorer
+        self.projects = [Project(*p) for p in projects]
         self.built: dict[str, tuple[DataFrame, index.Index]] = {}
+        self.reranker, self.jobs = Reranker(spark), Jobs()
 
     def project(self, asked: str) -> str:
-        """The path of a project: by name, by name in any case, or by path; blank is the default, else the first."""
-        wanted = asked.strip() or self.default
-        tests = (lambda n, p: n == wanted, lambda n, p: n.lower() == wanted.lower(), lambda n, p: p == wanted.rstrip("/"))
-        for test in tests:
-            for name, path in self.projects:
-                if test(name, path):
-                    return path
-        if self.projects and not asked.strip():
-            return self.projects[0][1]
-        raise ValueError(f"unknown project {asked!r}")
+        """The path of a project, as ``find_project`` finds it."""
+        found = find_project(self.projects, asked, self.default)
+        if found is None:
+            raise ValueError(f"unknown project {asked!r}")
+        return found.path
+
+    def build(self, path: str) -> dict:
+        """Builds or brings up to date the tables of a path, and says what that took."""
+        files = cut(self.load(path))
+        if self.store is None:
+            self.built[path] = files, index.build(cut(chunk_files(files)), cut)
+            return {"files": files.count(), "chunks": self.built[path][1].chunks.count()}
+        done = self.store.update(path, files, abort=self.jobs.stop.is_set, log=self.jobs.say)
+        self.built[path] = files, index.build(self.store.read(path)[0], cut)
+        return vars(done)
 
     def tables(self, asked: str) -> tuple[DataFrame, index.Index]:
         path = self.project(asked)
         if path not in self.built:
-            files = cut(self.load(path))
-            self.built[path] = files, index.build(cut(chunk_files(files)), cut)
+            self.build(path)
         return self.built[path]
 
     def list_projects(self) -> dict:
-        return {"projects": [{"name": n, "path": p} for n, p in self.projects], "default": self.default}
+        return {"projects": [{"name": p.name, "path": p.path} for p in self.projects], "default": self.default}
 
-    def search_code(self, query: str, top_k: int = 5, project: str = "") -> dict:
-        if not query.strip():
-            raise ValueError("query is empty")
-        k = top_k if 0 < top_k <= 50 else 5
+    def hits(self, query: str, mode: str, k: int, project: str, filtered: bool) -> tuple[list[dict], dict, int]:
+        """Rows of a search as they are shown, their gate, and how many there were before the cut-off."""
         built = self.tables(project)[1]
         asked = self.spark.createDataFrame([(1, query)], "query_id int, query string")
-        hits = cut(scoring.search(built, asked, "hybrid+rerank", k))
-        kept = cut(decide.filter_relevant(hits))
+        hits = cut(scoring.search(built, asked, mode, k, self.scorer))
+        kept = cut(decide.filter_relevant(hits)) if filtered else hits
         wanted = ("file_path", "start_line", "end_line", "symbol_name", "kind", "language", "signature", "doc", "content")
         found = kept.join(built.chunks.select("chunk_id", *wanted), "chunk_id").orderBy("rank").select(*wanted, "score").collect()  # k rows at most
         names = {"file_path": "file", "symbol_name": "symbol"}
         results = [{names.get(c, c): v for c, v in r.asDict().items() if v or c not in ("signature", "doc")} for r in found]
-        gate, n_raw = decide.noul(kept).first(), hits.count()
-        answer = {"query": query, "results": results, "noul": gate["noul"] if gate else 0.0, "need_more": gate["need_more"] if gate else True}
-        return answer | ({"more_available": True} if n_raw == k or len(results) < n_raw else {})
+        gate = decide.noul(kept).first()
+        return results, {"noul": gate["noul"] if gate else 0.0, "need_more": gate["need_more"] if gate else True}, hits.count()
+
+    def search_code(self, query: str, top_k: int = 5, project: str = "") -> dict:
+        scoring.asked_for(query)
+        k = top_k if 0 < top_k <= scoring.MOST else scoring.DEFAULT_K
+        self.tables(project)
+        # Fused scores are on another scale, so the plain answer isn't cut off.
+        (results, gate, n_raw), why = self.reranker.run(lambda: self.hits(query, "hybrid+rerank", k, project, True), lambda: self.hits(query, "hybrid", k, project, False))
+        answer = {"query": query, "results": results} | gate
+        more = n_raw == k or len(results) < n_raw
+        return answer | ({"more_available": True} if more else {}) | ({"degraded": why} if why else {})
+
+    def search(self, query: str, mode: str = "hybrid+rerank", top: int = 0, project: str = "") -> dict:
+        """A search in any mode, without cut-off."""
+        scoring.asked_for(query)
+        results, gate, _ = self.hits(query, mode, top if 0 < top <= scoring.MOST else scoring.DEFAULT_K, project, False)
+        return {"query": query, "mode": mode, "results": results} | gate
+
+    def stats(self, project: str = "") -> dict:
+        return summary(self.tables(project)[1].chunks)
 
     def get_symbol(self, name: str, project: str = "") -> dict:
         found = [r.asDict() for r in tools.find_symbol(self.tables(project)[1].chunks, name).orderBy("file_path", "start_line").collect()]
@@ -86,8 +115,8 @@ class Service:
         return {"name": name, "symbols": found}
 
     def find_references(self, name: str, project: str = "") -> dict:
-        found = [r.asDict() for r in tools.find_references(self.tables(project)[0], name)[0].collect()]
-        return {"name": name, "references": found[: tools.MAX_REFERENCES], "truncated": len(found) > tools.MAX_REFERENCES}
+        found = tools.find_references(self.tables(project)[0], name).orderBy("file_path", "line").collect()
+        return {"name": name, "references": [{k: r[k] for k in ("file_path", "line", "text")} for r in found], "truncated": bool(found) and found[0]["truncated"]}
 
     def read_span(self, file: str, start: int, end: int, project: str = "") -> dict:
         row = tools.read_span(self.tables(project)[0].where(F.col("file_path") == file), F.lit(start), F.lit(end)).first()
@@ -96,10 +125,10 @@ class Service:
         return {"file": file, "start": start, "end": end, "content": row["span"]}
 
     def reindex(self, project: str = "") -> dict:
-        """Drops a project's tables and builds them from its files as they are now."""
-        self.built.pop(self.project(project), None)
-        files, built = self.tables(project)
-        return {"files": files.count(), "chunks": built.chunks.count()}
+        """Brings a project's tables up to date in the background; an error if that is being done."""
+        path = self.project(project)
+        self.jobs.start(f"index {path}", lambda: self.build(path))
+        return {"started": True, "project": path}
 
     def call(self, name: str, arguments: dict) -> dict:
         began = time.monotonic()
