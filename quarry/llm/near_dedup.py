@@ -7,21 +7,28 @@
 3. Classes that share a band key are candidates. In every key, all its classes are
    compared with one central class (the one that meets most others), on full sets.
    Components follow by min-label propagation with pointer jumping.
-4. Keys that still hold more than one component are finished exactly: each class outside
-   the key's largest component is compared with the key's classes of other components.
-   Large keys are cut into blocks, so a task's share is bounded; pairs are compared
-   inside tasks and only links leave them (a union-find drops those that join nothing).
+4. Keys that still hold more than one component are finished: each class outside the
+   key's largest component is compared with the key's classes of other components. Large
+   keys are cut into blocks by rows and by shingles, so a task's share is bounded; pairs
+   are compared inside tasks, only between sets of sizes that can be similar, and only
+   links leave them (a union-find drops those that join nothing). A key that would take
+   more than ``HOT_PAIRS`` comparisons is cut into sub-keys by a second band first.
 
 So classes that share a key are in one component, or have been compared, or are joined
 by neither: no link between candidates is lost, and none is made without a full
-comparison. All joins are on keys that partial aggregates or blocks have thinned, or are
-sort-merge joins of written tables, which adaptive execution splits.
-
-Defined cases: null or empty text has an empty set and is linked with nothing; rows that
-repeat a ``doc_id`` are judged by their own texts (rows alike stand or fall together;
-unlike ones whose classes share the smallest id count as linked); a null ``doc_id`` is
-never the smallest, and a class of such rows alone has no id and keeps its rows; an
-empty table gives no rows.
+comparison. In a key of more than ``HOT_PAIRS`` candidates are the classes that share two
+bands; two sets of similarity 0.85 share fewer than two with probability 5e-6 (of 0.8:
+5e-4), and by one of their other keys they are compared all the same unless all that they
+share are that hot. All joins are on keys that partial aggregates or blocks have thinned,
+or are sort-merge joins of written tables, which adaptive execution splits.
+
+Defined cases: null or empty text has an empty set and is linked with nothing; a text of
+fewer words than a shingle is one shingle; very long texts are compared on their full
+sets; rows that repeat a ``doc_id`` are judged by their own texts (rows alike stand or
+fall together; unlike ones whose classes share the smallest id count as linked); a null
+``doc_id`` is never the smallest, and a class of such rows alone has no id and keeps its
+rows; of a component the smallest id stays, so there are no ties; an empty table gives no
+rows; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +38,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._minhash import band_keys, set_key, shingle_sets, super_minhash
+from quarry.llm._native import inner_names, outer_columns
 from quarry.llm._words import slices
 from quarry.session import cut
 
 BANDS, ROWS = 26, 5
 #: What the operator takes by itself: shingles of five words, similarity 0.8 or more.
 SHINGLE, PERCENT = 5, 80
-#: Classes of a key that are compared in one block, and the rounds after which label propagation must have ended.
-BLOCK, MAX_ROUNDS = 256, 64
+#: Classes of a key that are compared in one block, their shingles, and the rounds after which label propagation must have ended.
+BLOCK, WEIGHT, MAX_ROUNDS = 128, 100_000, 64
+#: Comparisons from which a key is cut by a second band.
+HOT_PAIRS = 4_000_000
 
 SKETCH = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -100,21 +109,27 @@ def compare(table: pa.Table, shingle: int, percent: int) -> pa.Table:
     first = np.concatenate([[0], np.cumsum(sizes)])
     place = {int(i): k for k, i in enumerate(ids)}
     keys, who, labels, pivots = (member[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "label", "pivot"))
-    order = np.lexsort((who, ~pivots.astype(bool), keys))
+    order = np.argsort(keys, kind="stable")
     links, union, mark = [], Links(percent), np.zeros(len(vocabulary), bool)
     for group in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(order) else []:
         at = np.array([place[int(i)] for i in who[group]])
+        by_size = np.lexsort((who[group], sizes[at]))
+        at, group = at[by_size], group[by_size]
+        size = sizes[at]
         pool = np.concatenate([coded[first[k] : first[k + 1]] for k in at])
-        starts = np.concatenate([[0], np.cumsum(sizes[at])[:-1]])
+        starts = np.concatenate([[0], np.cumsum(size)])
         for k, row in zip(at, group, strict=True):
             if not pivots[row]:
-                break
+                continue
+            # Only sets of sizes that can be similar enough.
+            low, high = np.searchsorted(size, -(-percent * sizes[k] // 100), "left"), np.searchsorted(size, 100 * sizes[k] // percent, "right")
             mine = coded[first[k] : first[k + 1]]
             mark[mine] = True
-            common = np.add.reduceat(mark[pool].astype(np.int64), starts)
+            common = np.add.reduceat(mark[pool[starts[low] : starts[high]]].astype(np.int64), starts[low:high] - starts[low])
             mark[mine] = False
-            near = (100 * common >= percent * (sizes[at] + sizes[k] - common)) & (labels[group] != labels[row])
-            for other, label in zip(who[group][near].tolist(), labels[group][near].tolist(), strict=True):
+            rows = group[low:high]
+            near = (100 * common >= percent * (size[low:high] + sizes[k] - common)) & (labels[rows] != labels[row])
+            for other, label in zip(who[rows][near].tolist(), labels[rows][near].tolist(), strict=True):
                 if union.join(int(labels[row]), label):
                     links.append((int(who[row]), other))
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
@@ -122,6 +137,7 @@ def compare(table: pa.Table, shingle: int, percent: int) -> pa.Table:
 
 def verified(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links ``a, b`` among ``members`` (unit, key, id, label, pivot), whose ``texts`` are (id, text)."""
+    members = cut(members)
     brought = members.select("unit", "id").distinct().join(texts, "id").select("unit", F.lit(None).cast("long").alias("key"), "id", F.lit(None).cast("long").alias("label"), F.lit(None).cast("boolean").alias("pivot"), "text")
     rows = members.select("unit", "key", "id", "label", "pivot", F.lit(None).cast("string").alias("text")).unionByName(brought)
 
@@ -147,71 +163,102 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """``id, key, n``: classes in keys that several classes share."""
-    keyed = classes.select("id", F.explode("bands").alias("key"))
+    """``id, size, key, n``: classes (``size`` shingles) in keys that several classes share."""
+    keyed = classes.select("id", "size", F.explode("bands").alias("key"))
     sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    return cut(keyed.join(sizes, "key").select("id", "key", "n"))
+    return cut(keyed.join(sizes, "key").select("id", "size", "key", "n"))
+
+
+def _blocks(rows: Column, shingles: Column, more: int = 1) -> Column:
+    """Blocks into which so many classes with so many shingles are cut."""
+    return F.greatest(F.ceil(rows / (more * BLOCK)), F.ceil(shingles / (more * WEIGHT)), F.lit(1)).cast("int")
 
 
 def _around_leaders(shared: DataFrame) -> DataFrame:
     """Units in which each key's classes meet its central class."""
     central = shared.groupBy("id").agg(F.sum("n").alias("meets"))
     leaders = shared.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("leader"))
-    pairs = cut(shared.join(cut(leaders), "key").select("leader", "id").distinct())
-    sizes = pairs.groupBy(F.col("leader").alias("of")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    placed = pairs.join(sizes, F.col("leader") == F.col("of")).withColumn("unit", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.col("blocks"))))
-    others = placed.where("id != leader").select("unit", F.col("leader").alias("key"), "id", F.col("id").alias("label"), F.lit(False).alias("pivot"))
-    heads = placed.where("id != leader").select("unit", F.col("leader").alias("key")).distinct().select("unit", "key", F.col("key").alias("id"), F.col("key").alias("label"), F.lit(True).alias("pivot"))
+    pairs = cut(shared.join(cut(leaders), "key").where("id != leader").select("leader", "id", "size").distinct())
+    # Written, so that both sides of the join are shuffles, which adaptive execution splits at a hot leader.
+    sizes = cut(pairs.groupBy(F.col("leader").alias("of")).agg(_blocks(F.count("*"), F.sum("size"), 2).alias("blocks")))
+    placed = cut(pairs.join(sizes, F.col("leader") == F.col("of")).select("leader", "id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("unit")))
+    others = placed.select("unit", F.col("leader").alias("key"), "id", F.col("id").alias("label"), F.lit(False).alias("pivot"))
+    heads = placed.select("unit", F.col("leader").alias("key")).distinct().select("unit", "key", F.col("key").alias("id"), F.col("key").alias("label"), F.lit(True).alias("pivot"))
     return others.unionByName(heads)
 
 
-def _left_over(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _several(known: DataFrame) -> DataFrame:
+    """What is left to compare in each key with several components: its rows and shingles, and those outside its largest component."""
+    per = known.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
+    main = F.max(F.struct("n", -F.col("label"), "w"))
+    keys = per.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("rows"), F.sum("w").alias("weight"), F.sum("s").alias("same"), main.alias("main"), F.min("label").alias("least")).where("labels > 1")
+    return keys.select("key", "rows", "weight", "same", "least", (-F.col("main.col2")).alias("main"), (F.col("rows") - F.col("main.n")).alias("out"), (F.col("weight") - F.col("main.w")).alias("out_weight"))
+
+
+def _split_hot(known: DataFrame, keys: DataFrame, pairs: int) -> DataFrame:
+    """``known`` with sub-keys of two bands in place of the keys that take more comparisons than ``pairs``."""
+    hot = cut(keys.where(F.col("out") * F.col("rows") > pairs).select("key"))
+    if not hot.limit(1).count():
+        return known
+    inside = known.join(hot, "key", "left_semi")
+    second = known.select("id", F.col("key").alias("second"))
+    both = inside.join(second, "id").where("key != second")
+    sub = both.select("id", "size", "label", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct()
+    return cut(known.join(hot, "key", "left_anti").unionByName(sub.select(*known.columns)))
+
+
+def _left_over(shared: DataFrame, labels: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """Units for keys that hold several components still."""
-    known = shared.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    per = known.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
-    keys = per.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.sum("s").alias("same"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.max("n").alias("most"), F.min("label").alias("least"))
+    known = cut(shared.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label")))
+    known = _split_hot(known, _several(known), hot_pairs)
     # Keys with the same classes (several bands agree on a group) are finished once.
-    keys = keys.where("labels > 1").groupBy("size", "same", "main", "most", "least").agg(F.min("key").alias("key"))
-    keys = keys.withColumn("rows", F.sum("size").over(W.partitionBy("least"))).withColumn("parts", F.ceil(F.col("rows") / (8 * BLOCK)))
-    keys = cut(keys.select("key", "main", "size", F.xxhash64("least", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("group"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("pivot_blocks"), F.ceil(F.col("size") / (2 * BLOCK)).cast("int").alias("blocks")))
-    known = cut(known)
+    keys = cut(_several(known).groupBy("rows", "weight", "same", "main", "out", "out_weight", "least").agg(F.min("key").alias("key")))
+    # Small keys of a component share a unit, for they share texts too.
+    whole = cut(keys.groupBy(F.col("least").alias("of")).agg(_blocks(F.sum("rows"), F.sum("weight"), 4).alias("parts")))
+    group = F.xxhash64("least", F.pmod(F.xxhash64("key"), F.col("parts")))
+    keys = cut(keys.join(whole, F.col("least") == F.col("of")).select("key", "main", group.alias("group"), _blocks(F.col("out"), F.col("out_weight")).alias("n_i"), _blocks(F.col("rows"), F.col("weight"), 2).alias("n_j")))
     placed = known.join(keys, "key").withColumn("pivot", F.col("label") != F.col("main"))
-    block = lambda c: F.pmod(F.xxhash64("id", "key"), F.col(c)).cast("int")
-    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    as_pivot = placed.where("pivot").withColumn("i", block("pivot_blocks")).withColumn("j", F.explode(upto("blocks")))
-    as_other = placed.withColumn("j", block("blocks")).withColumn("i", F.explode(upto("pivot_blocks"))).withColumn("pivot", F.lit(False))
-    both = as_pivot.unionByName(as_other).groupBy("group", "key", "id", "label", "i", "j").agg(F.max("pivot").alias("pivot"))
-    small = (F.col("i") == 0) & (F.col("j") == 0)
-    unit = F.when(small, F.xxhash64("group", F.lit(0))).otherwise(F.xxhash64("key", "i", "j"))
+    spot = lambda c: F.pmod(F.xxhash64("id", "key"), F.col(c)).cast("int")
+    placed = placed.withColumn("own_i", F.pmod(F.xxhash64("key", "id"), F.col("n_i")).cast("int")).withColumn("own_j", spot("n_j"))
+    # A class meets the pivots of every block i in its own block j; a pivot of block i meets every other block j too.
+    meets = lambda i, j, pivot: F.struct(i.alias("i"), j.alias("j"), pivot.alias("pivot"))
+    across = F.transform(F.sequence(F.lit(0), F.col("n_i") - 1), lambda i: meets(i, F.col("own_j"), F.col("pivot") & (i == F.col("own_i"))))
+    down = F.transform(F.filter(F.sequence(F.lit(0), F.col("n_j") - 1), lambda j: F.col("pivot") & (j != F.col("own_j"))), lambda j: meets(F.col("own_i"), j, F.lit(True)))
+    met = placed.select("group", "key", "id", "label", "n_i", "n_j", F.inline(F.concat(across, down)))
     key = F.xxhash64("key", "i", "j")
-    return both.select(unit.alias("unit"), key.alias("key"), "id", "label", "pivot")
+    small = (F.col("n_i") == 1) & (F.col("n_j") == 1)
+    return met.select(F.when(small, F.xxhash64("group", F.lit(0))).otherwise(key).alias("unit"), key.alias("key"), "id", "label", "pivot")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, kept`` for each row of ``docs``."""
     rows = cut(sketch(docs, shingle))
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min_by("text_hash", "doc_id").alias("of_text"), F.first("bands").alias("bands")))
+    classes = cut(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min_by("text_hash", "doc_id").alias("of_text"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")))
     shared = _candidates(classes)
     wanted = shared.select("id").distinct().join(classes.select("id", "of_text"), "id")
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("of_text"), "text")
     texts = cut(source.join(wanted, ["id", "of_text"]).dropDuplicates(["id"]).select("id", "text"))
     links = cut(verified(_around_leaders(shared), texts, shingle, percent))
     labels = components(links)
-    rest = verified(_left_over(shared, labels), texts, shingle, percent)
-    rest = cut(rest)
+    rest = cut(verified(_left_over(shared, labels), texts, shingle, percent))
     if rest.limit(1).count():
         labels = components(links.unionByName(rest))
     named = cut(classes.join(labels, "id", "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component")))
-    found = rows.join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    # Empty sets are all alike, and never linked: they stay out of the join.
+    found = rows.where("n_shingles > 0").join(named, ["set_a", "set_b"], "left").select("doc_id", "text_hash", "n_shingles", "component")
+    found = found.unionByName(rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component")))
+    component = F.col("component")
     return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
 
 
 def dedup_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document stands for its component."""
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_semi")
+    names = inner_names(docs.columns, "doc_id", "text")
+    inner = docs.toDF(*names)
+    kept = near_duplicates(inner, shingle, percent).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    found = inner.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
+    return found.select(*outer_columns(docs.columns, names))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
