@@ -98,8 +98,10 @@ class Texts:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        return rolling(0xD6E8FEB86659FD93).runs(byte_codes(lower)[self.data], self.starts, self.ends)
+    def hashes(self, lower: bool = False, second: bool = False) -> np.ndarray:
+        """64 bits of each word; ``second`` ones don't depend on the first."""
+        codes = mix(byte_codes(lower) ^ U64(0x2545F4914F6CDD1D)) if second else byte_codes(lower)
+        return rolling(0x8CB92BA72F3D8DD7 if second else 0xD6E8FEB86659FD93).runs(codes[self.data], self.starts, self.ends)
 
     def bytes_of(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()

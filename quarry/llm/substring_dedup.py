@@ -5,18 +5,22 @@ anywhere else too. Anchors are the 15 words from those positions of a document t
 in a difference cover modulo 21: any two positions have a common distance below 21 after
 which both are covered, so two equal windows share an equal anchor inside both. Only
 anchors (5 of 21 positions) of all texts are exchanged; those that occur twice mark the
-windows around them, and an anchor extends to a window if the hash of all 35 words
+windows around them, and an anchor extends to a window if the fingerprint of all 35 words
 occurs twice. Each word under a repeated window goes.
 
 Three steps over the same slices of the table (one shuffle of the texts, which Spark
 reuses): anchors, windows around shared anchors, and removal. What slices need to know
 of each other goes through :mod:`quarry.llm._exchange`, which bears any skew: no pairs
 of occurrences are made, and a passage in a third of all documents is asked once per
-slice. Hashes have 64 bits, buckets take further ones.
+slice. Anchors have 64 bits (chance agreements only make more candidates); windows have
+96, of two hashes that share nothing down to the letters, so at 100 TB (1.6e13 windows)
+two unequal windows agree with probability 0.002.
 
 Defined cases: null or empty text has no words and stays empty; a document under 35 words
-has no window; repeated rows repeat each other's windows; a null ``doc_id`` is a document
-like any other; an empty table gives no rows.
+has no window; a very long text is one document of its slice; repeated rows repeat each
+other's windows, the same ``doc_id`` or not (rows alike in id and text lie in one slice);
+a null ``doc_id`` is a document like any other; an empty table gives no rows; columns
+other than ``doc_id`` and ``text`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import _exchange as X
+from quarry.llm._native import inner_names
 from quarry.llm._words import Texts, buffers, rolling, slices, windows
 
 WINDOW, PERIOD = 35, 21
@@ -40,57 +45,54 @@ KEPT = "doc_id long, text string, n_words long, n_removed long, removed array<st
 class Slice:
     """Word hashes of a slice's texts, parsed in pieces of bounded size."""
 
-    def __init__(self, table: pa.Table):
-        hashes, counts, self.pieces = [], [], []
+    def __init__(self, table: pa.Table, windows: bool = True):
+        hashes, second, counts, self.pieces = [], [], [], []
         for low, high, data, offsets in slices(table["text"]):
             parsed = Texts(data, offsets)
             hashes.append(parsed.hashes())
+            if windows:
+                second.append(parsed.hashes(second=True))
             counts.append(parsed.counts)
             self.pieces.append((low, high, parsed))
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.second = np.concatenate(second) if second else np.zeros(0, np.uint64)
         self.first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
 
-    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, start and document of every run of words that fits."""
-        starts, document = windows(self.first, length)
-        return rolling(0xA24BAED4963EE407).runs(self.hashes, starts, starts + length), starts, document
-
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the anchors."""
         cover = np.zeros(PERIOD, bool)
         cover[list(COVER)] = True
         starts, document = windows(self.first, ANCHOR)
         starts = starts[cover[(starts - self.first[document]) % PERIOD]]
         return rolling(0x9FB21C651E98DF25).runs(self.hashes, starts, starts + ANCHOR), starts
 
-    def near(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and starts of the windows that hold a marked anchor."""
-        keys, starts, _ = self.runs(WINDOW)
+    def near(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints (64 and 32 bits) and starts of the windows that hold a marked anchor."""
+        starts, _ = windows(self.first, WINDOW)
         seen = np.zeros(len(self.hashes) + 1, np.int64)
         seen[marked + 1] = 1
         seen = np.cumsum(seen)
-        holds = seen[starts + PERIOD] > seen[starts]
-        return keys[holds], starts[holds]
-
-
-def repeated(keys: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
-    """Which keys occur twice here, or in another slice."""
-    distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return ((counts > 1) | X.member(distinct, elsewhere))[inverse]
+        starts = starts[seen[starts + PERIOD] > seen[starts]]
+        keys = rolling(0xA24BAED4963EE407).runs(self.hashes, starts, starts + WINDOW)
+        more = rolling(0xF1357AEA2E62A9C5).runs(self.second, starts, starts + WINDOW)
+        return keys, (more >> np.uint64(32)).astype(np.uint32), starts
 
 
 def ask_anchors(table: pa.Table, buckets: int) -> pa.Table:
-    return X.ask(table["slice"][0].as_py(), np.unique(Slice(table).anchors()[0]), buckets)
+    return X.ask(table["slice"][0].as_py(), X.distinct(Slice(table, windows=False).anchors()[0])[0], buckets)
 
 
-def candidates(part: Slice, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def candidates(part: Slice, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys, starts = part.anchors()
-    return part.near(starts[repeated(keys, X.unpack(answers))])
+    return part.near(starts[X.repeated(keys, None, answers)])
 
 
 def ask_windows(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not table.num_rows:
         return X.ask(0, np.zeros(0, np.uint64), buckets)
-    return X.ask(table["slice"][0].as_py(), np.unique(candidates(Slice(table), answers)[0]), buckets)
+    keys, more, _ = candidates(Slice(table), answers)
+    keys, more = X.distinct(keys, more)
+    return X.ask(table["slice"][0].as_py(), keys, buckets, more)
 
 
 def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -99,8 +101,8 @@ def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
     rows: dict[str, list] = {"doc_id": table["doc_id"].to_pylist(), "text": [], "n_words": [], "n_removed": [], "removed": []}
     if part:
         kind = answers["kind"].to_numpy()
-        keys, starts = candidates(part, answers.filter(pa.array(kind == 0)))
-        starts = starts[repeated(keys, X.unpack(answers.filter(pa.array(kind == 1))))]
+        keys, more, starts = candidates(part, answers.filter(pa.array(kind == 0)))
+        starts = starts[X.repeated(keys, more, answers.filter(pa.array(kind == 1)))]
         edge = np.zeros(len(part.hashes) + WINDOW + 1, np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + WINDOW, -1)
@@ -126,11 +128,12 @@ def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` (kept words joined by one space), ``n_words``, ``n_removed``
     and ``removed`` (spans of words, ends exclusive) of each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = inner_names(docs.columns, "doc_id", "text")
+    docs = docs.toDF(*names).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = X.text_size(docs)
-    dealt, _ = X.deal(docs, size, "doc_id", "text")
     # About a quarter of the words start an anchor, and a word takes six bytes.
-    buckets = max(X.LEAST, -(-size // 24 // X.BUCKET))
+    plan = X.Plan.of(docs.sparkSession, size, size // 24)
+    dealt, buckets = X.deal(docs, plan, "doc_id", "text"), plan.buckets
 
     def first(table: pa.Table) -> pa.Table:
         return ask_anchors(table, buckets)
@@ -138,10 +141,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def second(table: pa.Table, answers: pa.Table) -> pa.Table:
         return ask_windows(table, answers, buckets)
 
-    anchors = X.shared_keys(X.each_slice(dealt, first, X.ASKED))
-    wins = X.shared_keys(X.with_answers(dealt, anchors, second, X.ASKED))
+    anchors = X.shared_keys(X.each_slice(dealt, first, X.ASKED), plan)
+    wins = X.shared_keys(X.with_answers(dealt, anchors, plan, second, X.ASKED), plan)
     both = anchors.withColumn("kind", F.lit(0)).unionByName(wins.withColumn("kind", F.lit(1)))
-    return X.with_answers(dealt, both, remove, KEPT)
+    return X.with_answers(dealt, both, plan, remove, KEPT)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
