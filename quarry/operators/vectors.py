@@ -32,7 +32,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def best_of(ids: np.ndarray, vectors: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int) -> pa.Table:
+def best_of(ids: pa.Array, vectors: np.ndarray, names: pa.Array, queries: np.ndarray, k: int) -> pa.Table:
     """The k best rows of a batch for each query, with their scores; more where the last ones tie."""
     scores = queries @ vectors.T
     if len(ids) > k:
@@ -41,7 +41,7 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, names: np.ndarray, queries: np
         row, col = np.nonzero(scores >= least[:, None] - 1e-9)
     else:
         row, col = np.divmod(np.arange(scores.size), max(1, len(ids)))
-    return pa.table({"query_id": pa.array(names[row]), "chunk_id": pa.array(ids[col]), "score": pa.array(scores[row, col], pa.float64())})
+    return pa.table({"query_id": names.take(pa.array(row)), "chunk_id": ids.take(pa.array(col)), "score": pa.array(scores[row, col], pa.float64())})
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -62,13 +62,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOC
     blocks = max(1, -(-asked.count() // block))
     for b in range(blocks):
         table = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # about BLOCK rows
-        sent = known.sparkSession.sparkContext.broadcast((np.array(table["query_id"].to_pylist()), matrix(table["query_vec"])))
+        sent = known.sparkSession.sparkContext.broadcast((table["query_id"].combine_chunks(), matrix(table["query_vec"])))
 
         def scored(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, wanted = sent.value
             for batch in batches:
                 if batch.num_rows and len(names):
-                    yield from best_of(np.array(batch.column(0).to_pylist()), matrix(batch.column(1)), names, wanted, k).to_batches()
+                    yield from best_of(batch.column(0), matrix(batch.column(1)), names, wanted, k).to_batches()
 
         part = known.mapInArrow(scored, schema)
         found = part if found is None else found.unionByName(part)
@@ -84,7 +84,7 @@ def sample_of(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 def fit_centres(points: np.ndarray, lists: int) -> np.ndarray:
     """Unit centres by spherical k-means."""
     centres = points[np.random.default_rng(SEED).permutation(len(points))[:lists]]
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if len(points) else 0):
         near = (points @ centres.T).argmax(1)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, points)
@@ -148,8 +148,8 @@ class Lists:
         def scored(mine: pa.Table, theirs: pa.Table) -> pa.Table:
             if not mine.num_rows or not theirs.num_rows:
                 return pa.table({"query_id": theirs["query_id"].slice(0, 0), "chunk_id": mine["vec_id"].slice(0, 0), "score": pa.array([], pa.float64())})
-            ids, vectors = np.array(mine["vec_id"].to_pylist()), matrix(mine["embedding"])
-            tables = [best_of(ids, vectors, np.array(q["query_id"].to_pylist()), matrix(q["query_vec"]), k) for q in (theirs.slice(a, BLOCK) for a in range(0, theirs.num_rows, BLOCK))]
+            ids, vectors = mine["vec_id"].combine_chunks(), matrix(mine["embedding"])
+            tables = [best_of(ids, vectors, q["query_id"].combine_chunks(), matrix(q["query_vec"]), k) for q in (theirs.slice(a, BLOCK) for a in range(0, theirs.num_rows, BLOCK))]
             return pa.concat_tables(tables)
 
         pairs = self.rows.groupBy("list", "part").cogroup(asked.groupBy("list", "part"))
