@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._minhash import band_keys, set_key, shingle_sets, super_minhash
-from quarry.llm._native import inner_names, outer_columns
+from quarry.llm._native import finished, inner_names
 from quarry.llm._words import slices
 from quarry.session import cut
 
@@ -214,7 +214,7 @@ def _left_over(shared: DataFrame, labels: DataFrame, hot_pairs: int = HOT_PAIRS)
     # Keys with the same classes (several bands agree on a group) are finished once.
     keys = cut(_several(known).groupBy("rows", "weight", "same", "main", "out", "out_weight", "least").agg(F.min("key").alias("key")))
     # Small keys of a component share a unit, for they share texts too.
-    whole = cut(keys.groupBy(F.col("least").alias("of")).agg(_blocks(F.sum("rows"), F.sum("weight"), 4).alias("parts")))
+    whole = cut(keys.groupBy(F.col("least").alias("of")).agg(_blocks(F.sum("rows"), F.sum("weight"), 2).alias("parts")))
     group = F.xxhash64("least", F.pmod(F.xxhash64("key"), F.col("parts")))
     keys = cut(keys.join(whole, F.col("least") == F.col("of")).select("key", "main", group.alias("group"), _blocks(F.col("out"), F.col("out_weight")).alias("n_i"), _blocks(F.col("rows"), F.col("weight"), 2).alias("n_j")))
     placed = known.join(keys, "key").withColumn("pivot", F.col("label") != F.col("main"))
@@ -258,9 +258,32 @@ def dedup_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     inner = docs.toDF(*names)
     kept = near_duplicates(inner, shingle, percent).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
     found = inner.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
-    return found.select(*outer_columns(docs.columns, names))
+    return finished(found, docs.columns, names)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
+"""

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._native import BLANKS, inner_names, outer_columns, words
+from quarry.llm._native import BLANKS, finished, inner_names, words
 from quarry.session import cut
 
 SYMBOLS = "[#*$%&|<>]+"
@@ -84,7 +84,7 @@ def features(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         share(F.array(*sizes), F.col("_chars")).alias("classes"),
         share(F.concat(counted, F.array(count - F.size("_common"))), count).alias("commons"),
     )
-    return df.select(*outer_columns(docs.columns, names, ["quality"]), quality.alias("quality"))
+    return finished(df, docs.columns, names, {"quality": quality})
 
 
 def _neighbours(array: Column, with_next) -> Column:
@@ -142,7 +142,7 @@ def judge(measured: DataFrame, refs: DataFrame, far_classes: float = FAR_CLASSES
     )
     classes, commons = (F.coalesce(F.col(f"{c}_distance"), F.lit(0.0)) for c in ("class", "word"))
     far = (classes > far_classes) | ((classes > odd_classes) & (commons > odd_words))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far).select(*outer_columns(measured.columns, names, added), *added)
+    return finished(judged.withColumn("kept", ~F.col("base_failed") & ~far), measured.columns, names, {a: F.col(a) for a in added})
 
 
 def verdicts(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -155,14 +155,14 @@ def verdicts(docs: DataFrame, texts: bool = False) -> DataFrame:
     judged = judge(measured, cut(references(measured)))
     added = [c for c in judged.columns if c not in names]
     shown = [(c, i) for c, i in zip(docs.columns, names, strict=True) if texts or i != "text"]
-    return judged.select(*outer_columns([c for c, _ in shown], [i for _, i in shown], added), *added)
+    return finished(judged, [c for c, _ in shown], [i for _, i in shown], {a: F.col(a) for a in added})
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass. Texts are written beside their features, so that no
     text is shuffled or joined back, however many rows go."""
     names = inner_names(docs.columns, "doc_id", "lang", "text")
-    return verdicts(docs.toDF(*names), texts=True).where("kept").select(*outer_columns(docs.columns, names))
+    return finished(verdicts(docs.toDF(*names), texts=True).where("kept"), docs.columns, names)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -170,4 +170,54 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return verdicts(docs.select("doc_id", "lang", "text")).select("doc_id", *(F.col(f"quality.{c}") for c in COUNTS), "base_failed", "kept", "class_distance", "word_distance")
+    return verdicts(docs.select("doc_id", "lang", "text")).select("doc_id", *(F.col(f"quality.{c}") for c in COUNTS), "base_failed", "kept", *(F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")))
+
+
+def _distance_sql(p: str, r: str) -> str:
+    term = f"CASE WHEN {{0}} > 0 THEN {{0}} * log2({{0}} / (({p}[i] + {r}[i]) / 2)) ELSE 0 END"
+    parts = f"({term.format(f'{p}[i]')} + {term.format(f'{r}[i]')}) / 2"
+    return f"sqrt(greatest(0.0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {parts}))))"
+
+
+_LIST = ", ".join(f"'{w}'" for w in COMMON_WORDS)
+OP10_SQL = (
+    r"""
+WITH parsed AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 4], ' ')) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM parsed WHERE len(w) >= 5)),
+covered AS (
+  SELECT doc_id, sum(least(5, following - i)) AS n
+  FROM (SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 5) AS following FROM windows WHERE n > 1) GROUP BY 1),
+counted AS (
+  SELECT p.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+         [len(regexp_extract_all(t, '[a-z]')), len(regexp_extract_all(t, '[A-Z]')), len(regexp_extract_all(t, '[0-9]')),
+          len(regexp_extract_all(t, '[.,;:!?''"()-]')), len(regexp_extract_all(t, '[#$%&*+/<=>@\[\]\\^_`{|}~]'))] AS five,
+         list_transform([COMMON], lambda x: len(list_filter(w, lambda y: y = x))) AS common
+  FROM parsed p LEFT JOIN covered c USING (doc_id)),
+shares AS (
+  SELECT * EXCLUDE (five, common), list_transform(list_append(five, word_chars - list_sum(five)), lambda x: x / greatest(word_chars, 1)) AS classes,
+         list_transform(list_append(common, n_words - list_sum(common)), lambda x: x / greatest(n_words, 1)) AS commons,
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM counted),
+many AS (SELECT * FROM shares WHERE lang IS NOT NULL AND NOT base_failed AND word_chars >= 200 AND n_words >= 50),
+enough AS (SELECT lang FROM many GROUP BY 1 HAVING count(*) >= 10),
+middle AS (
+  SELECT lang, kind, i, median(round(1000 * x) / 1000) AS m
+  FROM (SELECT lang, 'classes' AS kind, unnest(classes) AS x, unnest(range(len(classes))) AS i FROM many
+        UNION ALL SELECT lang, 'commons', unnest(commons), unnest(range(len(commons))) FROM many) JOIN enough USING (lang) GROUP BY 1, 2, 3),
+refs AS (SELECT lang, kind, list(m / total ORDER BY i) AS r FROM (SELECT *, sum(m) OVER (PARTITION BY lang, kind) AS total FROM middle) GROUP BY 1, 2),
+judged AS (
+  SELECT s.*, CASE WHEN word_chars >= 200 AND a.r IS NOT NULL THEN CLASSES END AS class_distance, CASE WHEN n_words >= 50 AND b.r IS NOT NULL THEN WORDS END AS word_distance
+  FROM shares s LEFT JOIN refs a ON a.lang = s.lang AND a.kind = 'classes' LEFT JOIN refs b ON b.lang = s.lang AND b.kind = 'commons')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (coalesce(class_distance, 0) > 0.35 OR (coalesce(class_distance, 0) > 0.2 AND coalesce(word_distance, 0) > 0.25)) AS kept,
+       round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM judged
+""".replace("COMMON]", f"{_LIST}]").replace("THEN CLASSES", f"THEN {_distance_sql('classes', 'a.r')}").replace("THEN WORDS", f"THEN {_distance_sql('commons', 'b.r')}")
+)

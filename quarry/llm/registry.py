@@ -21,6 +21,9 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op5_near_dedup": near_dedup.OP5_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op10_quality_rules": quality.OP10_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -150,3 +150,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+twice AS (SELECT s FROM windows GROUP BY 1 HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM windows JOIN twice USING (s)),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM words),
+-- The last repeated window that starts at or before a word covers it if it is near enough.
+marked AS (
+  SELECT p.doc_id, p.k, p.word, coalesce(p.k - max(s.i) OVER (PARTITION BY p.doc_id ORDER BY p.k ROWS UNBOUNDED PRECEDING) < 35, false) AS gone
+  FROM placed p LEFT JOIN starts s ON s.doc_id = p.doc_id AND s.i = p.k)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM words d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id
+"""
