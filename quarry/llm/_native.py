@@ -35,8 +35,11 @@ def inner_names(columns: Sequence[str], *wanted: str) -> list[str]:
     return [places.get(k, f"own{k}") for k in range(len(columns))]
 
 
-def outer_columns(columns: Sequence[str], inner: Sequence[str], added: Sequence[str] = (), **instead: Column) -> list[Column]:
-    """The caller's columns under their own names, but for those named like ``added`` in
-    any case, which an operator replaces; ``instead`` gives new values by inner name."""
-    gone = {a.lower() for a in added}
-    return [instead.get(i, F.col(i)).alias(c) for i, c in zip(inner, columns, strict=True) if c.lower() not in gone]
+def finished(df: DataFrame, columns: Sequence[str], inner: Sequence[str], made: dict[str, Column] | None = None, **instead: Column) -> DataFrame:
+    """The caller's columns under their own names, and ``made`` ones, which replace those of
+    the same name in any case; ``instead`` gives new values by inner name. Two steps,
+    since what a select names can be meant by the expressions behind it."""
+    made = made or {}
+    gone = {m.lower() for m in made}
+    step = df.select(*(instead.get(i, F.col(i)).alias(i) for i in inner), *(v.alias(f"made{k}") for k, v in enumerate(made.values())))
+    return step.select(*(F.col(i).alias(c) for i, c in zip(inner, columns, strict=True) if c.lower() not in gone), *(F.col(f"made{k}").alias(m) for k, m in enumerate(made)))

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm._native import inner_names, outer_columns
+from quarry.llm._native import finished, inner_names
 from quarry.llm._words import SEPARATES, Texts, buffers, mix, slices, stream, windows
 from quarry.session import cut
 
@@ -287,14 +287,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_INDEX
         if k < blocks - 1:
             found = cut(found)
             sent.unpersist()
-    return found.select(*outer_columns(docs.columns, names, ["leaks"]), "leaks")
+    return finished(found, docs.columns, names, {"leaks": F.col("leaks")})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak."""
     names = inner_names(docs.columns, "text")
     found = find_leaks(docs.toDF(*names), benchmark).where(F.size("leaks") == 0)
-    return found.select(*outer_columns(docs.columns, names))
+    return finished(found, docs.columns, names)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm._native import finished, inner_names
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])([\w-]++)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 WORDS = re.compile(r"[a-z0-9]+")
@@ -275,15 +277,16 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text``, the main text of ``html``."""
-    own = [c for c in pages.columns if c.lower() != "text"]
-    schema = T.StructType([*pages.select(*own).schema.fields, T.StructField("text", T.StringType())])
+    names = inner_names(pages.columns, "html")
+    inner = pages.toDF(*names)
+    schema = T.StructType([*inner.schema.fields, T.StructField("text", T.StringType())])
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(batch.schema.get_field_index("html"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return pages.select(*own).mapInArrow(extracted, schema)
+    return finished(inner.mapInArrow(extracted, schema), pages.columns, names, {"text": F.col("text")})
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._native import inner_names, lower_ascii, outer_columns, strip_blanks
+from quarry.llm._native import finished, inner_names, lower_ascii, strip_blanks
 from quarry.session import cut
 
 #: A key has at least this many code points, and counts as shared from this many documents on.
@@ -75,7 +75,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     kept = F.flatten(F.transform(edges, lambda e: F.slice(lines, e["start"], e["size"])))
     text = F.when(F.size(at) == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
     made = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.size(at).cast("long")}
-    return joined.select(*outer_columns(docs.columns, names, list(made), text=text), *(v.alias(k) for k, v in made.items()))
+    return finished(joined, docs.columns, names, made, text=text)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm._native import inner_names, outer_columns, words
+from quarry.llm._native import finished, inner_names, words
 from quarry.session import cut
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
@@ -102,8 +102,8 @@ def mix_sizes(rows: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
     placed = ordered.withColumn("mix_inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     joined = placed.join(plan, (F.col("mix_key") == F.col("at_key")) & (F.col("mix_range") == F.col("at_range")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("mix_inside")))
-    taken = (F.col("whole") * F.col("size") + part).cast("long").alias("taken")
-    return joined.select(*outer_columns(rows.columns, names, ["source_size", "target", "taken"]), "source_size", "target", taken)
+    taken = (F.col("whole") * F.col("size") + part).cast("long")
+    return finished(joined, rows.columns, names, {"source_size": F.col("source_size"), "target": F.col("target"), "taken": taken})
 
 
 def with_size(docs: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs:
     copies = copies.withColumn("copy_words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
     some = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("copy_words").cast("int")), " ")
     text = F.when(F.col("copy_words") == F.col("size"), F.col("text")).otherwise(some)
-    return copies.select(*outer_columns(docs.columns, names, ["copy", "copy_words"], text=text), "copy", "copy_words")
+    return finished(copies, docs.columns, names, {"copy": F.col("copy"), "copy_words": F.col("copy_words")}, text=text)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

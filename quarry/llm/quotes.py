@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm._native import BLANKS, inner_names, lower_ascii, outer_columns
+from quarry.llm._native import BLANKS, finished, inner_names, lower_ascii
 from quarry.session import cut
 
 MAX_ROUNDS = 64
@@ -159,7 +159,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         F.size(F.filter("_lines", lambda x: x["level"] > 0)).cast("long"),
         F.when(F.col("parent").isNull(), F.coalesce(taken, F.lit(""))).otherwise(F.lit("")),
     )
-    return joined.select(*outer_columns(messages.columns, names, ADDED, text=F.col("own")), *(v.alias(k) for k, v in zip(ADDED, added, strict=True)))
+    return finished(joined, messages.columns, names, dict(zip(ADDED, added, strict=True)), text=F.col("own"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:

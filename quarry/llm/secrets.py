@@ -9,9 +9,11 @@ JSON header that names a signing algorithm. A run may follow '=' and go on over
 breaks, escaped ones too; the key's own length fields say where it ends. Each text is scanned whole, by itself: no
 shuffle, memory of one Arrow batch.
 
-Defined cases: a null or empty text has no spans; rows with a null ``doc_id`` and
-repeated rows are scanned each; an empty table gives no rows; other columns pass.
-Positions are code points, ends exclusive.
+Defined cases: a null or empty text has no spans; very long texts are scanned whole; rows
+with a null ``doc_id`` and repeated rows are scanned each; spans that begin together are
+listed by kind; an empty table gives no rows; other columns pass, whatever their names,
+but a column named ``secrets`` in any case is replaced. Positions are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm._native import finished, inner_names
+
 #: Kinds in the order in which spans of one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "key")
 BASE = KINDS[:3]
@@ -236,9 +240,10 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with ``secrets``: an array of (kind, start, end)."""
-    own = [c for c in docs.columns if c.lower() != "secrets"]
+    names = inner_names(docs.columns, "text")
+    inner = docs.toDF(*names)
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.select(*own).schema.fields, T.StructField("secrets", kind)])
+    schema = T.StructType([*inner.schema.fields, T.StructField("secrets", kind)])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +251,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t.as_py())] for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, SPANS)], [*batch.schema.names, "secrets"])
 
-    return docs.select(*own).mapInArrow(scanned, schema)
+    return finished(inner.mapInArrow(scanned, schema), docs.columns, names, {"secrets": F.col("secrets")})
 
 
 def of_kind(spans: Column, kind: str) -> Column:

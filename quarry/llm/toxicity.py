@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm._crf import BITS, CHUNK, Field, tokens
+from quarry.llm._native import finished, inner_names
 from quarry.llm._words import Texts, buffers, slices
 from quarry.session import cut
 
@@ -147,9 +148,10 @@ SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` and ``toxic_spans`` (code points, ends exclusive)."""
-    own = [c for c in docs.columns if c.lower() not in ("score", "toxic_spans")]
+    names = inner_names(docs.columns, "text")
+    inner = docs.toDF(*names)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.select(*own).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", span)])
+    schema = T.StructType([*inner.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", span)])
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
                     spans[low + k] = [{"start": int(points[s - begin]), "end": int(points[e - begin])} for _, s, e in mine]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(spans, SPAN)], [*batch.schema.names, "score", "toxic_spans"])
 
-    return docs.select(*own).mapInArrow(tagged, schema)
+    return finished(inner.mapInArrow(tagged, schema), docs.columns, names, {"score": F.col("score"), "toxic_spans": F.col("toxic_spans")})
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
