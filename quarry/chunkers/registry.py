@@ -45,12 +45,13 @@ def language_column(path: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), suffix), F.lit("text"))
 
 
-def chunk_text(path: str, text: str) -> list[dict]:
+def chunk_text(path: str, text: str, finders: dict[str, S.Finder] | None = None, languages: dict[str, str] | None = None) -> list[dict]:
     """All chunks of a file; if only windows are found, the whole file leads as one chunk."""
+    finders, languages = finders or FINDERS, languages or LANGUAGES
     lines, suffix = S.split_lines(text), extension(path)
-    language = LANGUAGES.get(suffix, "text")
-    label = JS_LABEL if FINDERS.get(suffix) is S.javascript else language
-    found = FINDERS[suffix](path, lines) if suffix in FINDERS else []
+    language = languages.get(suffix, "text")
+    label = JS_LABEL if finders.get(suffix) is S.javascript else language
+    found = finders[suffix](path, lines) if suffix in finders else []
     digest = hashlib.sha256(text.encode()).hexdigest()
     rows = [(label, s) for s in (found or S.windows(path, lines))]
     if not found:
@@ -65,10 +66,12 @@ def chunk_text(path: str, text: str) -> list[dict]:
 def chunk_files(files: DataFrame) -> DataFrame:
     """Chunks of ``files`` (file_path, content). Equal ids keep the last by position."""
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    # Chunkers that were registered here travel along; executors know only the package's own.
+    finders, languages = dict(FINDERS), dict(LANGUAGES)
 
     def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for p, t in zip(batch["file_path"], batch["content"], strict=True) for r in {x["chunk_id"]: x for x in chunk_text(p, t or "")}.values()]
+            rows = [r for p, t in zip(batch["file_path"], batch["content"], strict=True) for r in {x["chunk_id"]: x for x in chunk_text(p, t or "", finders, languages)}.values()]
             yield pd.DataFrame(rows, columns=columns).astype({"start_line": "int32", "end_line": "int32"})
 
     return files.select("file_path", "content").mapInPandas(chunked, SCHEMA)

@@ -182,9 +182,9 @@ def read_jdbc_index(spark: SparkSession, url: str, project: str, **options: str)
     """Meta and chunks of a project kept in a relational database, one table per project.
 
     Partitioning options of Spark's reader may be given to read in parallel."""
-    reader = spark.read.format("jdbc").options(url=url, **options)
-    rows = reader.option("query", f"SELECT \"key\", \"value\" FROM meta WHERE project = '{project.replace(chr(39), chr(39) * 2)}'").load().collect()  # three rows
-    return {r[0]: r[1] for r in rows}, reader.option("dbtable", f"chunks_{project_key(project)}").load()
+    reader = lambda: spark.read.format("jdbc").options(url=url, **options)
+    rows = reader().option("query", f"SELECT \"key\", \"value\" FROM meta WHERE \"project\" = '{project.replace(chr(39), chr(39) * 2)}'").load().collect()  # three rows
+    return {r[0]: r[1] for r in rows}, reader().option("dbtable", f"chunks_{project_key(project)}").load()
 
 
 def need_passages(chunks: DataFrame, existing: DataFrame) -> DataFrame:

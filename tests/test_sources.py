@@ -139,6 +139,16 @@ def test_other_formats(spark, tmp_path):
     assert meta == {"project_root": "/p", "chunker_version": 6} and chunks.first()["doc"] == "" and chunks.first()["chunk_id"] == "a.go:1:F" and tuple(files.first()) == ("a.go", "h")
 
 
+def test_relational_index(spark, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url, project = "jdbc:derby:memory:quarry;create=true", "/srv/o'ne"
+    put = lambda rows, schema, table, kinds: spark.createDataFrame(rows, schema).write.option("createTableColumnTypes", kinds).jdbc(url, table)
+    put([(project, "project_root", project), (project, "chunker_version", "6"), ("/other", "chunker_version", "5")], "project string, key string, value string", "meta", "project VARCHAR(99), key VARCHAR(99), value VARCHAR(99)")
+    put([("a.py:1:x", "a.py", 1)], "id string, file_path string, start_line int", f"chunks_{store.project_key(project)}", "id VARCHAR(99), file_path VARCHAR(99)")
+    meta, chunks = store.read_jdbc_index(spark, url, project)
+    assert meta == {"project_root": project, "chunker_version": "6"} and tuple(chunks.first()) == ("a.py:1:x", "a.py", 1)
+
+
 def test_needed_passages(spark):
     chunks = spark.createDataFrame([("a", "h", "f", "", "doc", "body"), ("b", "h", "g", "sig", "", "x" * 50), ("c", "h2", "h", "", "", ""), ("d", "h", "i", "", "", "y")], "chunk_id string, hash string, symbol_name string, signature string, doc string, content string")
     old = spark.createDataFrame([("b", "h", False), ("c", "h", True), ("d", "h", True)], "chunk_id string, hash string, has_vector boolean")

@@ -53,3 +53,30 @@ def test_read_span_and_references(spark):
     files = spark.createDataFrame([("a.py", "python", "one\ntoken = 'token'  # token\nx_token\n")], "file_path string, language string, content string")
     assert tools.read_span(files, F.lit(-5), F.lit(2)).first()["span"] == "one\ntoken = 'token'  # token"
     assert [r["line"] for r in tools.all_references(files, "token").collect()] == [2]
+
+
+def test_estimates_and_passages(spark):
+    rows = spark.createDataFrame([("éé", "f", "", None, "body")], "x string, symbol_name string, signature string, doc string, content string")
+    got = rows.select(T.token_estimate(F.octet_length("x") + 3), T.passage_text("symbol_name", "signature", "doc", "content"), T.grep_terms(F.col("x"))).first()
+    assert tuple(got) == (1, "f\nbody\n", [])
+    assert one(spark, T.grep_terms(F.lit("Where is the Orders_Table orders?"))) == ["where", "orders", "table", "orders"]
+
+
+@pytest.mark.parametrize("line, language, bare", [("x = 'a # b' # c", "python", "x =  "), ('go("//x") // y', "go", "go() "), ("a `b` 'it\\'s' c", "go", "a   c"), ("# not cut", "go", "# not cut")])
+def test_strip_code(spark, line, language, bare):
+    assert one(spark, T.strip_code(F.lit(line), F.lit(language))) == bare
+
+
+def test_first_references_only(spark):
+    files = spark.createDataFrame([("b.py", "python", "name\n" * 30), ("a.py", "python", "name\n" * 21)], "file_path string, language string, content string")
+    got = tools.find_references(files, "name").orderBy("file_path", "line").collect()
+    assert len(got) == 50 and got[0]["file_path"] == "a.py" and got[-1]["line"] == 29 and all(r["truncated"] for r in got)
+    assert not any(r["truncated"] for r in tools.find_references(files, "name", 51).collect()) and tools.find_references(files, "none").count() == 0
+
+
+def test_resolve_many_names(spark):
+    projects = spark.createDataFrame([("Api", "/srv/api", 0), ("api", "/srv/two", 1), ("web", "/srv/web/", 2)], "name string, path string, pos int")
+    asked = spark.createDataFrame([("api",), ("API",), (" web",), ("/srv/web",), ("",), ("nobody",)], "asked string")
+    got = {r["asked"]: r["path"] for r in tools.resolve_projects(projects, asked, "web").collect()}
+    assert got == {"api": "/srv/two", "API": "/srv/api", " web": "/srv/web/", "/srv/web": "/srv/web/", "": "/srv/web/"}
+    assert {r["asked"]: r["path"] for r in tools.resolve_projects(projects, asked, "ghost").collect()}[""] == "/srv/api"
