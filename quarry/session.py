@@ -49,12 +49,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
     Later stages start from files that outlive any executor, columns can be pruned,
-    and the optimizer sees the true size. The files go when the driver ends.
+    and the optimizer sees the true size. The files go when the driver ends, or with
+    :func:`drop`.
     """
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the files of tables that :func:`cut` has written; nothing that is still to be computed may read them."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _written[:] = [w for w in _written if w[1] != path]
 
 
 def scratch(spark: SparkSession, kind: str = "quarry") -> str:
@@ -64,16 +76,18 @@ def scratch(spark: SparkSession, kind: str = "quarry") -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:  # else the session has ended
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release() -> None:
-    """Deletes what :func:`cut` has written; results built on it must be used before."""
+    """Deletes all that :func:`cut` has written; results built on it must be used before."""
     while _written:
-        spark, path = _written.pop()
         try:
-            context = spark.sparkContext
-            if context._jsc is None:  # the session has ended
-                continue
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_written.pop())
         except Exception:  # noqa: BLE001  the gateway may be gone when the driver ends
             return
 
