@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from quarry.llm._minhash import band_keys, set_key, shingle_sets, super_minhash
 from quarry.llm._native import finished, inner_names
 from quarry.llm._words import slices
-from quarry.session import cut
+from quarry.session import cut, drop
 
 BANDS, ROWS = 26, 5
 #: What the operator takes by itself: shingles of five words, similarity 0.8 or more.
@@ -150,14 +150,16 @@ def verified(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 def components(links: DataFrame) -> DataFrame:
     """``id, label``: for every linked id the smallest id that it reaches."""
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("label")))
+    labels = before = cut(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("label")))
     for _ in range(MAX_ROUNDS):
         around = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         lower = cut(labels.join(around, "id").select("id", "label", F.least("label", "near").alias("new")))
         jump = lower.select(F.col("id").alias("new"), F.col("new").alias("further"))
         moved = cut(lower.join(jump, "new").select("id", F.col("further").alias("to"), "label"))
-        labels = moved.select("id", F.col("to").alias("label"))
+        drop(before, lower)
+        labels, before = moved.select("id", F.col("to").alias("label")), moved
         if not moved.where("to < label").limit(1).count():
+            drop(edges)
             return labels
     raise RuntimeError(f"components not stable after {MAX_ROUNDS} rounds")
 
@@ -245,6 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     if rest.limit(1).count():
         labels = components(links.unionByName(rest))
     named = cut(classes.join(labels, "id", "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component")))
+    drop(classes, shared, texts, links, rest)
     # Empty sets are all alike, and never linked: they stay out of the join.
     found = rows.where("n_shingles > 0").join(named, ["set_a", "set_b"], "left").select("doc_id", "text_hash", "n_shingles", "component")
     found = found.unionByName(rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component")))

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm._native import BLANKS, finished, inner_names, lower_ascii
-from quarry.session import cut
+from quarry.session import cut, drop
 
 MAX_ROUNDS = 64
 _PREFIX = r"^((?:[\x20\t]?>)+)[\x20\t]?"
@@ -94,12 +94,13 @@ def links(found: DataFrame) -> DataFrame:
 
 def chase(at: DataFrame) -> DataFrame:
     """``conv_id, node, end, steps``: follows each ``end`` that is a node itself to where it leads, adding up steps."""
-    at = cut(at.select("conv_id", "node", "end", "steps"))
+    at = before = cut(at.select("conv_id", "node", "end", "steps"))
     for _ in range(MAX_ROUNDS):
         up = at.select(F.col("conv_id").alias("of"), F.col("node").alias("at"), F.col("end").alias("further"), F.col("steps").alias("more"))
         moved = at.join(up, (F.col("conv_id") == F.col("of")) & (F.col("end") == F.col("at")), "left")
         after = cut(moved.select("conv_id", "node", F.coalesce("further", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("at").isNotNull().alias("moved")))
-        at = after.drop("moved")
+        drop(before)
+        at, before = after.drop("moved"), after
         if not after.where("moved").limit(1).count():
             return at
     raise RuntimeError(f"links not followed to their ends after {MAX_ROUNDS} rounds")
