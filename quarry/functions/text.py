@@ -79,6 +79,18 @@ def stem(word: Column, base: Column | None = None) -> Column:
     return F.when(kept, word).when(latin, first(EN_SUFFIXES)).when(~F.rlike(base, F.lit("[а-яё]$")), base).otherwise(first(RU_SUFFIXES))
 
 
+def short_stem(word: Column) -> Column:
+    """:func:`stem` with its suffixes as data: a small plan for few words, where the CASE's many branches take longer to plan than to run."""
+    base = without_reflexive(word)
+
+    def first(suffixes: list[str]) -> Column:
+        fits = F.filter(F.array(*map(F.lit, dict.fromkeys(suffixes))), lambda s: F.endswith(base, s) & (F.length(base) - F.length(s) >= MIN_STEM))
+        return F.left(base, F.length(base) - F.coalesce(F.length(F.get(fits, F.lit(0))), F.lit(0)))
+
+    kept = (F.length(word) <= WHOLE) | ~F.rlike(word, F.lit(r"^\p{L}"))
+    return F.when(kept, word).when(F.rlike(word, F.lit(r"^[\x00-\x7F]")), first(EN_SUFFIXES)).otherwise(first(RU_SUFFIXES))
+
+
 def candidates(ident: Column) -> Column:
     """The identifier, then each underscore segment and its camel-case parts, lower-cased."""
     segments = F.filter(F.split(ident, "_", -1), lambda s: s != "")
@@ -90,7 +102,7 @@ def folded_tokens(ident: Column) -> Column:
     """Tokens of one identifier: each new candidate, followed by its stem where that differs."""
 
     def add(seen: Column, word: Column) -> Column:
-        cut = stem(word)
+        cut = short_stem(word)
         return F.when(F.array_contains(seen, word), seen).otherwise(F.concat(seen, F.when(cut == word, F.array(word)).otherwise(F.array(word, cut))))
 
     return F.aggregate(F.filter(candidates(ident), lambda c: c != ""), F.array().cast("array<string>"), add)
@@ -98,8 +110,8 @@ def folded_tokens(ident: Column) -> Column:
 
 def ident_tokens(ident: Column) -> Column:
     """:func:`folded_tokens`, with a short way for identifiers without an inner boundary."""
-    folded, low = folded_tokens(ident), F.lower(ident)
-    return F.when(F.rlike(ident, F.lit(PLAIN)), F.when(stem(low) == low, F.array(low)).otherwise(F.array(low, stem(low)))).otherwise(folded)
+    low = F.lower(ident)
+    return F.when(F.rlike(ident, F.lit(PLAIN)), F.array_distinct(F.array(low, short_stem(low)))).otherwise(folded_tokens(ident))
 
 
 def expand(terms: Column) -> Column:

@@ -141,12 +141,17 @@ def span_tokens(tops: DataFrame, chunks: DataFrame, files: DataFrame, around: in
 
 
 def rag_tokens(index: Index, queries: DataFrame, files: DataFrame, k: int, **search) -> DataFrame:
-    """``query_id, rag, need_more``: what an agent pays that searches, and where its hits do
-    not suffice searches again for twice as many and reads around the best of them."""
-    queries = cut(queries)
-    ask = lambda asked, n: cut(payload_tokens(asked, cut(scoring.search(index, asked, "hybrid+blend", n, **search)), index.chunks, n))
-    once = ask(queries, k)
-    again = ask(queries.join(once.where("need_more"), "query_id", "left_semi"), 2 * k)
+    """``query_id, rag, need_more``: what an agent pays that searches for ``k`` hits (at most
+    half of what a search may give), and where they do not suffice searches again for twice
+    as many and reads around the best of them."""
+    if not 0 < 2 * k <= scoring.MOST:
+        raise ValueError(f"k is {k}, not between 1 and {scoring.MOST // 2}")
+    queries = scoring.ask(cut(queries))
+    # The pool and its order are the same for any number of hits, so one search gives both.
+    wide = cut(scoring.search(index, queries, "hybrid+blend", 2 * k, **search))
+    once = cut(payload_tokens(queries.queries, wide.where(F.col("rank") <= k), index.chunks, k))
+    more = queries.queries.join(once.where("need_more"), "query_id", "left_semi")
+    again = cut(payload_tokens(more, wide.join(more, "query_id", "left_semi"), index.chunks, 2 * k))
     tops = again.select("query_id", F.col("tokens").alias("more"), F.col("top").alias("second")).join(once.select("query_id", F.col("top").alias("first")), "query_id")
     spans = span_tokens(tops.select("query_id", F.coalesce("second", "first").alias("top")), index.chunks, files)
     both = once.join(tops.select("query_id", "more"), "query_id", "left").join(spans.withColumnRenamed("tokens", "span"), "query_id", "left")

@@ -338,8 +338,10 @@ def project_resolve(spark: SparkSession, d: str) -> DataFrame:
 # Evaluation and statistics
 
 
-def first_hits(spark: SparkSession, d: str) -> DataFrame:
-    return stats.first_hits(blended(spark, d), corpus.relevant(spark, d))
+def first_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """First ranks of the questions, and what is relevant to them."""
+    relevant = cut(corpus.relevant(spark, d))
+    return stats.first_hits(blended(spark, d), relevant), relevant
 
 
 def metrics() -> list:
@@ -348,7 +350,7 @@ def metrics() -> list:
 
 @query(O.FULL + O.HITS + O.RELEVANT + f" SELECT count(*) AS n, {O.METRICS} FROM first")
 def eval_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
-    return first_hits(spark, d).agg(F.count("*").alias("n"), *metrics())
+    return first_hits(spark, d)[0].agg(F.count("*").alias("n"), *metrics())
 
 
 @query(
@@ -359,8 +361,9 @@ def eval_slices(spark: SparkSession, d: str) -> DataFrame:
     """By the language of the documents, and by the letters of the question."""
     letters = F.when(F.octet_length("query") > F.length("query"), "accented").otherwise("plain")
     asked = corpus.queries(spark, d).select("query_id", letters.alias("question_lang"))
-    langs = corpus.relevant(spark, d).groupBy("query_id").agg(F.min("lang").alias("lang")).join(asked, "query_id")
-    return first_hits(spark, d).join(langs, "query_id").groupingSets([[], ["lang"], ["question_lang"]], "lang", "question_lang").agg(F.count("*").alias("n"), *metrics())
+    first, relevant = first_hits(spark, d)
+    langs = relevant.groupBy("query_id").agg(F.min("lang").alias("lang")).join(asked, "query_id")
+    return first.join(langs, "query_id").groupingSets([[], ["lang"], ["question_lang"]], "lang", "question_lang").agg(F.count("*").alias("n"), *metrics())
 
 
 def bench_rows(spark: SparkSession, d: str) -> DataFrame:
