@@ -44,7 +44,10 @@ def blended(spark: SparkSession, d: str) -> DataFrame:
 # Text
 
 
-@query(f"WITH RECURSIVE {O.CHUNKS}, c_idents AS (SELECT chunk_id, unnest({O.IDENT.format('content')}) AS ident FROM chunks), {O.folded('c_idents')} SELECT DISTINCT ident, array_to_string(toks, ' ') AS tokens FROM tokens_of")
+@query(
+    f"WITH RECURSIVE {O.CHUNKS}, c_idents AS (SELECT chunk_id, unnest({O.IDENT.format('content')}) AS ident FROM chunks), {O.folded('c_idents')} "
+    f"SELECT DISTINCT ident, array_to_string(toks, ' ') AS tokens FROM tokens_of"
+)
 def tokenize_idents(spark: SparkSession, d: str) -> DataFrame:
     words = corpus.files(spark, d).select(F.explode(T.idents(F.col("content"))).alias("ident")).distinct()
     return words.select("ident", F.array_join(T.ident_tokens(F.col("ident")), " ").alias("tokens"))
@@ -89,7 +92,10 @@ def idf(spark: SparkSession, d: str) -> DataFrame:
     return corpus.index(spark, d).terms.select("term", F.round("idf", 6).alias("idf"))
 
 
-@query(O.INDEX + ", norms AS (SELECT chunk_id, sqrt(sum((tf * idf) * (tf * idf))) AS norm FROM postings JOIN terms USING (term) GROUP BY 1) SELECT chunk_id, term, round(CASE WHEN norm > 0 THEN tf * idf / norm ELSE 0 END, 6) AS w FROM postings JOIN terms USING (term) JOIN norms USING (chunk_id)")
+@query(
+    O.INDEX + ", norms AS (SELECT chunk_id, sqrt(sum((tf * idf) * (tf * idf))) AS norm FROM postings JOIN terms USING (term) GROUP BY 1) SELECT chunk_id, "
+    "term, round(CASE WHEN norm > 0 THEN tf * idf / norm ELSE 0 END, 6) AS w FROM postings JOIN terms USING (term) JOIN norms USING (chunk_id)"
+)
 def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
     index = corpus.index(spark, d)
     return ix.weights(index.postings, index.terms).select("chunk_id", "term", F.round("w", 6).alias("w"))
@@ -141,7 +147,8 @@ def noul_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     O.FULL + O.HITS + O.GATE + ", a AS (SELECT query_id, count(*) AS n_raw FROM hits GROUP BY 1), b AS (SELECT query_id, count(*) AS n_hits FROM kept GROUP BY 1) "
-    "SELECT query_id, n_hits, (n_raw = 5 OR n_hits < n_raw) AS more_available, round(noul, 6) AS noul, noul < 0.5 AS need_more FROM a JOIN b USING (query_id) JOIN gate USING (query_id)"
+    "SELECT query_id, n_hits, (n_raw = 5 OR n_hits < n_raw) AS more_available, round(noul, 6) AS noul, noul < 0.5 AS need_more FROM a JOIN "
+    "b USING (query_id) JOIN gate USING (query_id)"
 )
 def search_payload(spark: SparkSession, d: str) -> DataFrame:
     hits = blended(spark, d)
@@ -155,7 +162,8 @@ def search_payload(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "WITH f AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path, " + O.LINES.format("coalesce(text, '')") + " AS l FROM documents), "
     "s AS (SELECT file_path, l, unnest(range(1, 2 + CAST(greatest(0, ceil((len(l) - 60) / 50.0)) AS BIGINT) * 50, 50)) AS a FROM f) "
-    "SELECT file_path, CAST(a AS INTEGER) AS start_line, CAST(least(len(l), a + 59) AS INTEGER) AS end_line, array_to_string(l[a:least(len(l), a + 59)], chr(10)) AS content FROM s"
+    "SELECT file_path, CAST(a AS INTEGER) AS start_line, CAST(least(len(l), a + 59) AS INTEGER) AS end_line, array_to_string(l[a:least(len(l), "
+    "a + 59)], chr(10)) AS content FROM s"
 )
 def window_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.window_chunks(corpus.files(spark, d))
@@ -183,9 +191,12 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "WITH p AS (SELECT 'src/doc_' || doc_id || '.py' AS file_path, " + O.LINES.format("coalesce(text, '')") + " AS l FROM documents), "
-    "f AS (SELECT file_path, unnest(list_transform(l, lambda x: replace(replace(replace(x, chr(92), ''), '\"', ''), chr(39), ''))) AS x, unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM p) "
-    "SELECT file_path || ':' || (3 * i - 2) || ':line_' || i AS chunk_id, file_path, 'python' AS language, CAST(3 * i - 2 AS INTEGER) AS start_line, CAST(3 * i AS INTEGER) AS end_line, 'line_' || i AS symbol_name, "
-    "'func' AS kind, 'def line_' || i || '()' AS signature, regexp_replace(x, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '', 'g') AS doc FROM f"
+    "f AS (SELECT file_path, unnest(list_transform(l, lambda x: replace(replace(replace(x, chr(92), ''), '\"', ''), chr(39), ''))) AS x, "
+    "unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM p) "
+    "SELECT file_path || ':' || (3 * i - 2) || ':line_' || i AS chunk_id, file_path, 'python' AS language, CAST(3 * i - 2 AS INTEGER) AS "
+    "start_line, CAST(3 * i AS INTEGER) AS end_line, 'line_' || i AS symbol_name, "
+    "'func' AS kind, 'def line_' || i || '()' AS signature, regexp_replace(x, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', "
+    "'', 'g') AS doc FROM f"
 )
 def chunk_code_files(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.chunk_files(corpus.programs(spark, d)).drop("content", "hash")
@@ -226,21 +237,27 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT query_id, round(avg(CASE WHEN label = query_label THEN 1.0::DOUBLE ELSE 0 END), 6) AS same_label FROM {_NEAR} GROUP BY 1")
 def vector_label_precision(spark: SparkSession, d: str) -> DataFrame:
     labels = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label")
-    hits = nearest(spark, d).join(labels.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+    own = labels.select(F.col("vec_id").alias("chunk_id"), "label")
+    asked = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
+    hits = nearest(spark, d).join(own, "chunk_id").join(asked, "query_id")
     return hits.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("query_label")).cast("double")), 6).alias("same_label"))
 
 
 # Tools
 
 
-@query("SELECT source || '/doc_' || doc_id || '.txt' AS file_path, 1 AS start_line, CAST(len(" + O.LINES.format("coalesce(text, '')") + ") AS INTEGER) AS end_line, 'doc_' || doc_id AS symbol_name, 'file' AS kind, 'text' AS language, 'doc_' || doc_id AS signature FROM documents WHERE lower('doc_' || doc_id) = 'doc_7'")
+@query(
+    "SELECT source || '/doc_' || doc_id || '.txt' AS file_path, 1 AS start_line, CAST(len(" + O.LINES.format("coalesce(text, '')") + ") AS INTEGER) AS end_line, 'doc_' || doc_id AS symbol_name, 'file' AS kind, 'text' AS language, 'doc_' || doc_id AS signature FROM "
+    "documents WHERE lower('doc_' || doc_id) = 'doc_7'"
+)
 def find_symbol(spark: SparkSession, d: str) -> DataFrame:
     return tools.find_symbol(corpus.chunks(spark, d), "DOC_7")
 
 
 _REFS = (
     "WITH l AS (SELECT doc_id, source || '/doc_' || doc_id || '.txt' AS file_path, unnest(" + O.LINES.format("coalesce(text, '')") + ") AS line, unnest(range(1, 1 + len(" + O.LINES.format("coalesce(text, '')") + "))) AS no FROM documents), "
-    "b AS (SELECT *, string_split(regexp_replace(line, '`[^`]*`|\"(?:\\\\.|[^\"\\\\])*\"|''(?:\\\\.|[^''\\\\])*''', '', 'g'), CASE WHEN doc_id % 2 = 0 THEN '#' ELSE '//' END)[1] AS bare FROM l), r AS ("
+    "b AS (SELECT *, string_split(regexp_replace(line, '`[^`]*`|\"(?:\\\\.|[^\"\\\\])*\"|''(?:\\\\.|[^''\\\\])*''', '', 'g'), CASE WHEN "
+    "doc_id % 2 = 0 THEN '#' ELSE '//' END)[1] AS bare FROM l), r AS ("
     "SELECT file_path, CAST(no AS INTEGER) AS line, trim(line) AS text FROM b WHERE regexp_matches(bare, '(^|[^A-Za-z0-9_])NAME($|[^A-Za-z0-9_])'))"
 )
 
@@ -255,7 +272,10 @@ def find_references(spark: SparkSession, d: str) -> DataFrame:
     return tools.find_references(corpus.files(spark, d), "the")
 
 
-@query("SELECT source || '/doc_' || doc_id || '.txt' AS file_path, CASE WHEN len(l) >= 2 THEN array_to_string(l[2:least(4, len(l))], chr(10)) END AS span FROM (SELECT *, " + O.LINES.format("coalesce(text, '')") + " AS l FROM documents)")
+@query(
+    "SELECT source || '/doc_' || doc_id || '.txt' AS file_path, CASE WHEN len(l) >= 2 THEN array_to_string(l[2:least(4, len(l))], chr(10)) "
+    "END AS span FROM (SELECT *, " + O.LINES.format("coalesce(text, '')") + " AS l FROM documents)"
+)
 def read_span(spark: SparkSession, d: str) -> DataFrame:
     return tools.read_span(corpus.files(spark, d), F.lit(2), F.lit(4))
 
@@ -268,7 +288,8 @@ def file_manifest(spark: SparkSession, d: str) -> DataFrame:
 # Incremental: labelled documents were indexed before, and those of quality 0 have changed since; pages were indexed and are gone.
 
 _BEFORE = (
-    "before AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path, CASE WHEN quality = 0 THEN sha256('old:' || coalesce(text, '')) ELSE sha256(coalesce(text, '')) END AS hash FROM documents JOIN labels USING (doc_id) "
+    "before AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path, CASE WHEN quality = 0 THEN sha256('old:' || coalesce(text, '')) "
+    "ELSE sha256(coalesce(text, '')) END AS hash FROM documents JOIN labels USING (doc_id) "
     "UNION ALL SELECT 'pages/' || page_id || '.html', sha256(coalesce(html, '')) FROM pages), "
     "now AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path, sha256(coalesce(text, '')) AS hash FROM documents)"
 )
@@ -282,12 +303,19 @@ def manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tools.manifest(files), tools.manifest(old).unionByName(tools.manifest(pages))
 
 
-@query(f"WITH {_BEFORE} SELECT coalesce(n.file_path, b.file_path) AS file_path, CASE WHEN n.file_path IS NULL THEN 'remove' WHEN n.hash = b.hash THEN 'keep' ELSE 'reindex' END AS action FROM now n FULL JOIN before b ON n.file_path = b.file_path")
+@query(
+    f"WITH {_BEFORE} SELECT coalesce(n.file_path, b.file_path) AS file_path, CASE WHEN n.file_path IS NULL THEN 'remove' WHEN n.hash = b.hash "
+    f"THEN 'keep' ELSE 'reindex' END AS action FROM now n FULL JOIN before b ON n.file_path = b.file_path"
+)
 def incremental_plan(spark: SparkSession, d: str) -> DataFrame:
     return tools.plan_update(*manifests(spark, d))
 
 
-@query(f"WITH {_BEFORE} SELECT count(*) FILTER (WHERE n.file_path IS NOT NULL) AS files, count(*) FILTER (WHERE n.hash = b.hash) AS kept, count(*) FILTER (WHERE n.file_path IS NOT NULL AND n.hash IS DISTINCT FROM b.hash) AS reindexed, count(*) FILTER (WHERE n.file_path IS NULL) AS removed FROM now n FULL JOIN before b ON n.file_path = b.file_path")
+@query(
+    f"WITH {_BEFORE} SELECT count(*) FILTER (WHERE n.file_path IS NOT NULL) AS files, count(*) FILTER (WHERE n.hash = b.hash) AS kept, count(*) "
+    f"FILTER (WHERE n.file_path IS NOT NULL AND n.hash IS DISTINCT FROM b.hash) AS reindexed, count(*) FILTER (WHERE n.file_path IS NULL) "
+    f"AS removed FROM now n FULL JOIN before b ON n.file_path = b.file_path"
+)
 def run_stats(spark: SparkSession, d: str) -> DataFrame:
     plan = tools.plan_update(*manifests(spark, d))
     is_ = lambda a: F.count_if(F.col("action") == a)
@@ -306,7 +334,11 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return tools.upsert(before, changed, tools.removed(now, before), "file_path").select("file_path", "hash")
 
 
-@query(f"WITH {_BEFORE}, toxic AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) SELECT n.file_path, n.hash FROM now n LEFT JOIN before b ON n.file_path = b.file_path WHERE b.file_path IS NULL OR b.hash <> n.hash OR n.file_path IN (SELECT file_path FROM toxic)")
+@query(
+    f"WITH {_BEFORE}, toxic AS (SELECT source || '/doc_' || doc_id || '.txt' AS file_path FROM documents JOIN labels USING (doc_id) WHERE "
+    f"toxic = 1) SELECT n.file_path, n.hash FROM now n LEFT JOIN before b ON n.file_path = b.file_path WHERE b.file_path IS NULL OR b.hash "
+    f"<> n.hash OR n.file_path IN (SELECT file_path FROM toxic)"
+)
 def embed_need(spark: SparkSession, d: str) -> DataFrame:
     """Toxic documents were never embedded."""
     now, before = manifests(spark, d)
@@ -320,9 +352,11 @@ _ASKED = "SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN ' ' ||
 
 
 @query(
-    f"WITH asked AS ({_ASKED}), p AS (SELECT source AS name, '/srv/' || source AS path, row_number() OVER (ORDER BY source) AS pos FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)), "
+    f"WITH asked AS ({_ASKED}), p AS (SELECT source AS name, '/srv/' || source AS path, row_number() OVER (ORDER BY source) AS pos FROM "
+    f"(SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)), "
     "w AS (SELECT asked, CASE WHEN trim(asked) = '' THEN 'nobody' ELSE trim(asked) END AS wanted FROM asked), "
-    "m AS (SELECT asked, name, path, pos, CASE WHEN wanted = name THEN 0 WHEN lower(wanted) = lower(name) THEN 1 WHEN rtrim(wanted, '/') = path THEN 2 WHEN trim(asked) = '' AND pos = 1 THEN 3 END AS prio FROM w, p) "
+    "m AS (SELECT asked, name, path, pos, CASE WHEN wanted = name THEN 0 WHEN lower(wanted) = lower(name) THEN 1 WHEN rtrim(wanted, '/') "
+    "= path THEN 2 WHEN trim(asked) = '' AND pos = 1 THEN 3 END AS prio FROM w, p) "
     "SELECT asked, arg_min(name, (prio, pos)) AS name, arg_min(path, (prio, pos)) AS path FROM m WHERE prio IS NOT NULL GROUP BY asked"
 )
 def project_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -406,7 +440,10 @@ def call_stats_by_tool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _last(n: int, way: str) -> str:
-    return f"SELECT CAST(row_number() OVER (ORDER BY ts {way}, event_id {way}) AS INTEGER) AS place, event_id, tool, latency_ms, response_bytes FROM (SELECT * FROM {_CALLS} ORDER BY ts DESC, event_id DESC LIMIT {n})"
+    return (
+        f"SELECT CAST(row_number() OVER (ORDER BY ts {way}, event_id {way}) AS INTEGER) AS place, event_id, tool, latency_ms, response_bytes "
+        f"FROM (SELECT * FROM {_CALLS} ORDER BY ts DESC, event_id DESC LIMIT {n})"
+    )
 
 
 @query(_last(10, "DESC"))
@@ -419,7 +456,11 @@ def call_series(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.last_calls(corpus.calls(spark, d), 200, newest_first=False).select("place", "event_id", "tool", "latency_ms", "response_bytes")
 
 
-@query("WITH c AS (SELECT CASE WHEN trim(coalesce(source, '')) = '' THEN 'other' ELSE source END AS v, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS place FROM c) SELECT CASE WHEN place <= 8 THEN v ELSE 'прочее' END AS name, CAST(sum(n) AS BIGINT) AS count FROM r GROUP BY 1")
+@query(
+    "WITH c AS (SELECT CASE WHEN trim(coalesce(source, '')) = '' THEN 'other' ELSE source END AS v, count(*) AS n FROM documents GROUP "
+    "BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS place FROM c) SELECT CASE WHEN place <= 8 THEN v ELSE 'прочее' END "
+    "AS name, CAST(sum(n) AS BIGINT) AS count FROM r GROUP BY 1"
+)
 def top_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.top_counts(corpus.files(spark, d), "source", 8)
 
