@@ -104,7 +104,8 @@ class Field:
         moves = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         return p1, moves, np.array([(1 - p1[starts]).sum(), p1[starts].sum()])
 
-    def fit(self, features: np.ndarray, starts: np.ndarray, labels: np.ndarray, rounds: int = 20, rate: float = 0.3, decay: float = 1e-4, chunk: int = CHUNK) -> Field:
+    def fit(self, features: np.ndarray, starts: np.ndarray, labels: np.ndarray, rounds: int = 20, rate: float = 0.3, decay: float = 1e-4,
+        chunk: int = CHUNK) -> Field:
         """Full-batch Adagrad on the conditional log likelihood of the labels. Documents are
         gone through in chunks of about ``chunk`` words, which bounds what is held at once."""
         n = len(features)

@@ -42,4 +42,5 @@ def finished(df: DataFrame, columns: Sequence[str], inner: Sequence[str], made:
     made = made or {}
     gone = {m.lower() for m in made}
     step = df.select(*(instead.get(i, F.col(i)).alias(i) for i in inner), *(v.alias(f"made{k}") for k, v in enumerate(made.values())))
-    return step.select(*(F.col(i).alias(c) for i, c in zip(inner, columns, strict=True) if c.lower() not in gone), *(F.col(f"made{k}").alias(m) for k, m in enumerate(made)))
+    return step.select(*(F.col(i).alias(c) for i, c in zip(inner, columns, strict=True) if c.lower() not in gone),
+        *(F.col(f"made{k}").alias(m) for k, m in enumerate(made)))

@@ -51,7 +51,8 @@ BLOCK = set(
 )
 #: What an opening tag closes if it is open in the same container.
 CLOSES = {t: {"p", *SHUT} for t in BLOCK - {"body", "html", "head"}}
-CLOSES |= {t: CLOSES["p"] | more for t, more in {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}.items()}
+CLOSES |= {t: CLOSES["p"] | more for t, more in {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
+    "th": {"td", "th"}}.items()}
 CLOSES["option"] = {"option"}
 SCOPES = set("article aside blockquote body div dl fieldset figure footer foreignobject form header html main nav ol section table template ul".split())
 FURNITURE = set("nav footer aside form button menu dialog head input label search template".split()) | SHUT

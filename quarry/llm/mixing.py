@@ -58,7 +58,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     placed = prefix_sums(per, [F.col("source").asc_nulls_last()], place=F.lit(1))
     cycle = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
     capped = placed.select("source", "source_size", cycle.cast("long").alias("weight"), (F.col("source_size") * max_epochs).alias("cap"))
-    summed = prefix_sums(capped, [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], place=F.lit(1), full=F.col("cap"), closed=F.col("weight"))
+    summed = prefix_sums(capped, [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], place=F.lit(1), full=F.col("cap"),
+        closed=F.col("weight"))
     # One row each, by aggregates without keys.
     whole = summed.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
     tried = (
@@ -89,7 +90,8 @@ def _plan(ordered: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFr
     quota = quota.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0)))
     quota = quota.withColumn("rest", F.col("quota") - F.col("whole") * F.col("source_size")).drop("quota")
     earlier = W.partitionBy("mix_key").orderBy("mix_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranges.select(F.col("source").alias("at"), F.col("mix_key").alias("at_key"), F.col("mix_range").alias("at_range"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    starts = ranges.select(F.col("source").alias("at"), F.col("mix_key").alias("at_key"), F.col("mix_range").alias("at_range"),
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
     return cut(starts.join(quota, F.col("at").eqNullSafe(F.col("of"))).drop("of", "at"))
 
 

@@ -68,7 +68,8 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                 bands += list(band_keys(super_minhash(sets, BANDS * ROWS), BANDS, ROWS).view(np.int64))
             bands = [b if n else None for b, n in zip(bands, counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array([a for a, _ in keys], pa.int64()),
+                pa.array([b for _, b in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"],
             )
 
@@ -138,7 +139,8 @@ def compare(table: pa.Table, shingle: int, percent: int) -> pa.Table:
 def verified(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links ``a, b`` among ``members`` (unit, key, id, label, pivot), whose ``texts`` are (id, text)."""
     members = cut(members)
-    brought = members.select("unit", "id").distinct().join(texts, "id").select("unit", F.lit(None).cast("long").alias("key"), "id", F.lit(None).cast("long").alias("label"), F.lit(None).cast("boolean").alias("pivot"), "text")
+    brought = members.select("unit", "id").distinct().join(texts, "id").select("unit", F.lit(None).cast("long").alias("key"), "id",
+        F.lit(None).cast("long").alias("label"), F.lit(None).cast("boolean").alias("pivot"), "text")
     rows = members.select("unit", "key", "id", "label", "pivot", F.lit(None).cast("string").alias("text")).unionByName(brought)
 
     def work(table: pa.Table) -> pa.Table:
@@ -183,9 +185,11 @@ def _around_leaders(shared: DataFrame) -> DataFrame:
     pairs = cut(shared.join(cut(leaders), "key").where("id != leader").select("leader", "id", "size").distinct())
     # Written, so that both sides of the join are shuffles, which adaptive execution splits at a hot leader.
     sizes = cut(pairs.groupBy(F.col("leader").alias("of")).agg(_blocks(F.count("*"), F.sum("size"), 2).alias("blocks")))
-    placed = cut(pairs.join(sizes, F.col("leader") == F.col("of")).select("leader", "id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("unit")))
+    placed = cut(pairs.join(sizes, F.col("leader") == F.col("of")).select("leader", "id",
+        F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("unit")))
     others = placed.select("unit", F.col("leader").alias("key"), "id", F.col("id").alias("label"), F.lit(False).alias("pivot"))
-    heads = placed.select("unit", F.col("leader").alias("key")).distinct().select("unit", "key", F.col("key").alias("id"), F.col("key").alias("label"), F.lit(True).alias("pivot"))
+    heads = placed.select("unit", F.col("leader").alias("key")).distinct().select("unit", "key", F.col("key").alias("id"), F.col("key").alias("label"),
+        F.lit(True).alias("pivot"))
     return others.unionByName(heads)
 
 
@@ -193,8 +197,10 @@ def _several(known: DataFrame) -> DataFrame:
     """What is left to compare in each key with several components: its rows and shingles, and those outside its largest component."""
     per = known.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
     main = F.max(F.struct("n", -F.col("label"), "w"))
-    keys = per.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("rows"), F.sum("w").alias("weight"), F.sum("s").alias("same"), main.alias("main"), F.min("label").alias("least")).where("labels > 1")
-    return keys.select("key", "rows", "weight", "same", "least", (-F.col("main.col2")).alias("main"), (F.col("rows") - F.col("main.n")).alias("out"), (F.col("weight") - F.col("main.w")).alias("out_weight"))
+    keys = per.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("rows"), F.sum("w").alias("weight"), F.sum("s").alias("same"),
+        main.alias("main"), F.min("label").alias("least")).where("labels > 1")
+    return keys.select("key", "rows", "weight", "same", "least", (-F.col("main.col2")).alias("main"), (F.col("rows") - F.col("main.n")).alias("out"),
+        (F.col("weight") - F.col("main.w")).alias("out_weight"))
 
 
 def _split_hot(known: DataFrame, keys: DataFrame, pairs: int) -> DataFrame:
@@ -218,14 +224,16 @@ def _left_over(shared: DataFrame, labels: DataFrame, hot_pairs: int = HOT_PAIRS)
     # Small keys of a component share a unit, for they share texts too.
     whole = cut(keys.groupBy(F.col("least").alias("of")).agg(_blocks(F.sum("rows"), F.sum("weight"), 2).alias("parts")))
     group = F.xxhash64("least", F.pmod(F.xxhash64("key"), F.col("parts")))
-    keys = cut(keys.join(whole, F.col("least") == F.col("of")).select("key", "main", group.alias("group"), _blocks(F.col("out"), F.col("out_weight")).alias("n_i"), _blocks(F.col("rows"), F.col("weight"), 2).alias("n_j")))
+    keys = cut(keys.join(whole, F.col("least") == F.col("of")).select("key", "main", group.alias("group"),
+        _blocks(F.col("out"), F.col("out_weight")).alias("n_i"), _blocks(F.col("rows"), F.col("weight"), 2).alias("n_j")))
     placed = known.join(keys, "key").withColumn("pivot", F.col("label") != F.col("main"))
     spot = lambda c: F.pmod(F.xxhash64("id", "key"), F.col(c)).cast("int")
     placed = placed.withColumn("own_i", F.pmod(F.xxhash64("key", "id"), F.col("n_i")).cast("int")).withColumn("own_j", spot("n_j"))
     # A class meets the pivots of every block i in its own block j; a pivot of block i meets every other block j too.
     meets = lambda i, j, pivot: F.struct(i.alias("i"), j.alias("j"), pivot.alias("pivot"))
     across = F.transform(F.sequence(F.lit(0), F.col("n_i") - 1), lambda i: meets(i, F.col("own_j"), F.col("pivot") & (i == F.col("own_i"))))
-    down = F.transform(F.filter(F.sequence(F.lit(0), F.col("n_j") - 1), lambda j: F.col("pivot") & (j != F.col("own_j"))), lambda j: meets(F.col("own_i"), j, F.lit(True)))
+    down = F.transform(F.filter(F.sequence(F.lit(0), F.col("n_j") - 1), lambda j: F.col("pivot") & (j != F.col("own_j"))),
+        lambda j: meets(F.col("own_i"), j, F.lit(True)))
     met = placed.select("group", "key", "id", "label", "n_i", "n_j", F.inline(F.concat(across, down)))
     key = F.xxhash64("key", "i", "j")
     small = (F.col("n_i") == 1) & (F.col("n_j") == 1)
@@ -236,7 +244,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """``doc_id, text_hash, n_shingles, component_id, kept`` for each row of ``docs``."""
     rows = cut(sketch(docs, shingle))
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min_by("text_hash", "doc_id").alias("of_text"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")))
+    classes = cut(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min_by("text_hash", "doc_id").alias("of_text"),
+        F.first("bands").alias("bands"), F.first("n_shingles").alias("size")))
     shared = _candidates(classes)
     wanted = shared.select("id").distinct().join(classes.select("id", "of_text"), "id")
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("of_text"), "text")
@@ -252,7 +261,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     found = rows.where("n_shingles > 0").join(named, ["set_a", "set_b"], "left").select("doc_id", "text_hash", "n_shingles", "component")
     found = found.unionByName(rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component")))
     component = F.col("component")
-    return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
+    return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
 
 
 def dedup_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -116,7 +116,8 @@ def references(measured: DataFrame, min_chars: int = MIN_CHARS, min_words: int =
     of = F.col("lang").alias("of")
     widths = {"classes": len(CLASSES) + 2, "commons": len(COMMON_WORDS) + 1}
     flat = full.select(of, *((F.round(q[h][i] * GRID) / GRID).alias(f"{h}{i}") for h, n in widths.items() for i in range(n)))
-    middle = flat.groupBy("of").agg(F.count("*").alias("n"), *(F.percentile(f"{h}{i}", 0.5).alias(f"{h}{i}") for h, n in widths.items() for i in range(n))).where(F.col("n") >= min_docs)
+    middle = flat.groupBy("of").agg(F.count("*").alias("n"), *(F.percentile(f"{h}{i}", 0.5).alias(f"{h}{i}") for h,
+        n in widths.items() for i in range(n))).where(F.col("n") >= min_docs)
     even = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda t, y: t + y))
     return middle.select("of", *(even(F.array(*(f"{h}{i}" for i in range(n)))).alias(f"ref_{h}") for h, n in widths.items()))
 
@@ -170,7 +171,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return verdicts(docs.select("doc_id", "lang", "text")).select("doc_id", *(F.col(f"quality.{c}") for c in COUNTS), "base_failed", "kept", *(F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")))
+    return verdicts(docs.select("doc_id", "lang", "text")).select("doc_id", *(F.col(f"quality.{c}") for c in COUNTS), "base_failed", "kept",
+        *(F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")))
 
 
 def _distance_sql(p: str, r: str) -> str:
@@ -219,5 +221,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT (coalesce(class_distance, 0) > 0.35 OR (coalesce(class_distance, 0) > 0.2 AND coalesce(word_distance, 0) > 0.25)) AS kept,
        round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
 FROM judged
-""".replace("COMMON]", f"{_LIST}]").replace("THEN CLASSES", f"THEN {_distance_sql('classes', 'a.r')}").replace("THEN WORDS", f"THEN {_distance_sql('commons', 'b.r')}")
+""".replace("COMMON]", f"{_LIST}]").replace("THEN CLASSES", f"THEN {_distance_sql('classes', 'a.r')}").replace("THEN WORDS",
+    f"THEN {_distance_sql('commons', 'b.r')}")
 )

@@ -98,7 +98,8 @@ def chase(at: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         up = at.select(F.col("conv_id").alias("of"), F.col("node").alias("at"), F.col("end").alias("further"), F.col("steps").alias("more"))
         moved = at.join(up, (F.col("conv_id") == F.col("of")) & (F.col("end") == F.col("at")), "left")
-        after = cut(moved.select("conv_id", "node", F.coalesce("further", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("at").isNotNull().alias("moved")))
+        after = cut(moved.select("conv_id", "node", F.coalesce("further", "end").alias("end"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("at").isNotNull().alias("moved")))
         drop(before)
         at, before = after.drop("moved"), after
         if not after.where("moved").limit(1).count():
@@ -136,7 +137,8 @@ def threads(linked: DataFrame) -> DataFrame:
     own, roots = of("mine", "behind"), of("top", "whole")
     placed = tree.join(own, (F.col("conv_id") == F.col("of")) & (F.col("node") == F.col("mine")), "left").drop("of")
     placed = placed.join(roots, (F.col("conv_id") == F.col("of")) & (F.col("end") == F.col("top")), "left").drop("of")
-    placed = placed.select("conv_id", F.col("node").alias("turn"), F.col("end").alias("root"), F.col("steps").alias("depth"), (F.col("whole") - F.coalesce("behind", F.lit(0))).alias("place"))
+    placed = placed.select("conv_id", F.col("node").alias("turn"), F.col("end").alias("root"), F.col("steps").alias("depth"),
+        (F.col("whole") - F.coalesce("behind", F.lit(0))).alias("place"))
     return cut(placed.join(linked, ["conv_id", "turn"]))
 
 
@@ -149,7 +151,8 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     quoted lines of a message that links to nothing, as they stood."""
     names = inner_names(messages.columns, "conv_id", "turn", "text")
     found = parsed(messages.toDF(*names))
-    tree = threads(links(found)).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "parent", F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("place").alias("_place"))
+    tree = threads(links(found)).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "parent", F.col("root").alias("_root"),
+        F.col("depth").alias("_depth"), F.col("place").alias("_place"))
     joined = found.join(tree, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
     taken = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_PREFIX)), "\n")
     added = (

@@ -50,14 +50,16 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 0, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER, max_text: int = MAX_TEXT, max_bytes: int = MAX_BYTES) -> tuple[pa.Table, dict[int, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 0, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER,
+    max_text: int = MAX_TEXT, max_bytes: int = MAX_BYTES) -> tuple[pa.Table, dict[int, int]]:
     """A bounded sample of labelled texts outside the held-out fold, and the label counts."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != held_out)).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     known = cut(known.select("id", "y", F.xxhash64("id").alias("turn")))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = known.where("y = 1").orderBy("turn", "id").limit(max_toxic).unionByName(known.where("y = 0").orderBy("turn", "id").limit(max_other))
     # At most max_toxic + max_other ids by construction, so this side may be broadcast.
-    rows = docs.where(F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= max_text)).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id"))
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= max_text)).select("doc_id",
+        "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id"))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     # Rows of repeated ids may be many; the running sum is over numbers, in the order of the hash, and texts come only for those within it.
     sized = cut(rows.select("doc_id", "text", "y", "turn", size.alias("bytes")).orderBy("turn", "doc_id", "text").limit(max_toxic + max_other))
@@ -174,4 +176,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     tagged = tag(docs, train(docs, labels))
-    return tagged.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").cast("long").alias("n_spans"), "toxic_spans")
+    return tagged.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("toxic_spans").cast("long").alias("n_spans"), "toxic_spans")
