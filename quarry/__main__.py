@@ -19,7 +19,8 @@ from quarry.sources.tree import golden_questions, source_files
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="quarry", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, help_ in (("index", "bring an index up to date"), ("search", "search a tree"), ("serve", "tools over standard input"), ("web", "tools over HTTP"), ("eval", "retrieval quality over questions"), ("bench", "token costs over questions"), ("hook", "write a post-commit hook")):
+    for name, help_ in (("index", "bring an index up to date"), ("search", "search a tree"), ("serve", "tools over standard input"),
+        ("web", "tools over HTTP"), ("eval", "retrieval quality over questions"), ("bench", "token costs over questions"), ("hook", "write a post-commit hook")):
         c = commands.add_parser(name, help=help_)
         c.add_argument("folders", nargs="*" if name in ("serve", "web") else 1)
         c.add_argument("--store", help="folder of index tables")

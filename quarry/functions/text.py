@@ -151,4 +151,5 @@ def lines_of(text: Column) -> Column:
 
 def passage_text(*fields: str) -> Column:
     """Non-empty fields, each with a line end."""
-    return F.array_join(F.transform(F.filter(F.array(*(F.coalesce(F.col(f), F.lit("")) for f in fields)), lambda x: x != ""), lambda x: F.concat(x, F.lit("\n"))), "")
+    return F.array_join(F.transform(F.filter(F.array(*(F.coalesce(F.col(f), F.lit("")) for f in fields)), lambda x: x != ""),
+        lambda x: F.concat(x, F.lit("\n"))), "")

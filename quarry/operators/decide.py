@@ -29,4 +29,5 @@ def payload(hits: DataFrame, kept: DataFrame, gate: DataFrame, k: int) -> DataFr
     """``query_id, n_hits, more_available, noul, need_more``."""
     raw = hits.groupBy("query_id").agg(F.count("*").alias("n_raw"))
     n = kept.groupBy("query_id").agg(F.count("*").alias("n_hits"))
-    return raw.join(n, "query_id").join(gate, "query_id").select("query_id", "n_hits", ((F.col("n_raw") == k) | (F.col("n_hits") < F.col("n_raw"))).alias("more_available"), "noul", "need_more")
+    return raw.join(n, "query_id").join(gate, "query_id").select("query_id", "n_hits",
+        ((F.col("n_raw") == k) | (F.col("n_hits") < F.col("n_raw"))).alias("more_available"), "noul", "need_more")

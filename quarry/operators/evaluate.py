@@ -32,8 +32,10 @@ def first_expected(hits: DataFrame, questions: DataFrame, chunks: DataFrame) ->
 
 def metrics(first: DataFrame) -> DataFrame:
     """Recall at RANKS and the mean reciprocal rank: over all, by code language and by question language."""
-    return first.groupingSets([[], ["language"], ["question_lang"]], "language", "question_lang").agg(F.grouping_id().alias("slice"), F.count("*").alias("n"), *stats.recall_mrr(RANKS)).select(
-        F.when(F.col("slice") == 3, "all").when(F.col("slice") == 1, "language").otherwise("question_lang").alias("slice"), F.coalesce("language", "question_lang").alias("value"), "n", *(f"recall_{k}" for k in RANKS), "mrr"
+    return first.groupingSets([[], ["language"], ["question_lang"]], "language", "question_lang").agg(F.grouping_id().alias("slice"),
+        F.count("*").alias("n"), *stats.recall_mrr(RANKS)).select(
+        F.when(F.col("slice") == 3, "all").when(F.col("slice") == 1, "language").otherwise("question_lang").alias("slice"),
+            F.coalesce("language", "question_lang").alias("value"), "n", *(f"recall_{k}" for k in RANKS), "mrr"
     )
 
 
@@ -50,7 +52,8 @@ def evaluate(index: Index, questions: DataFrame, k: int = 5, configs: Sequence[t
         result |= {s: {r["value"]: r["recall_5"] for r in rows if r["slice"] == s} for s in ("language", "question_lang")}
         if mode == "hybrid+rerank":
             named = hits.join(index.chunks.select("chunk_id", "file_path", "symbol_name"), "chunk_id").groupBy(F.col("query_id").alias("of"))
-            shown = named.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", "file_path", "symbol_name").alias("hit")))), lambda x: x["hit"]).alias("got"))  # k hits
+            shown = named.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", "file_path", "symbol_name").alias("hit")))),
+                lambda x: x["hit"]).alias("got"))  # k hits
             missed = first.where("first_rank IS NULL OR first_rank > 5").join(shown, F.col("id") == F.col("of"), "left")
             result["missed"] = [r.asDict() for r in missed.select("id", "question", "expected_files", "got", "first_rank").orderBy("id").collect()]
         out.append(result)
@@ -120,7 +123,8 @@ def payload_tokens(queries: DataFrame, hits: DataFrame, chunks: DataFrame, k: in
     costs, whether its hits suffice, and the first hit's chunk. Queries without hits answer too."""
     kept = cut(decide.filter_relevant(hits))
     raw = hits.groupBy("query_id").agg(F.count("*").alias("n_raw"))
-    shown = kept.join(chunks, "chunk_id").groupBy("query_id").agg(F.sum(hit_bytes()).alias("bytes"), F.count("*").alias("n"), F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("top"))
+    shown = kept.join(chunks, "chunk_id").groupBy("query_id").agg(F.sum(hit_bytes()).alias("bytes"), F.count("*").alias("n"),
+        F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("top"))
     gate = decide.noul(kept)
     all_ = queries.select("query_id", "query").join(raw, "query_id", "left").join(shown, "query_id", "left").join(gate, "query_id", "left")
     noul, need = F.coalesce("noul", F.lit(0.0)), F.coalesce("need_more", F.lit(True))
@@ -133,7 +137,8 @@ def payload_tokens(queries: DataFrame, hits: DataFrame, chunks: DataFrame, k: in
 
 def span_tokens(tops: DataFrame, chunks: DataFrame, files: DataFrame, around: int = AROUND) -> DataFrame:
     """``query_id, tokens`` of reading a chunk (``top``) with lines around it."""
-    at = tops.join(chunks.select(F.col("chunk_id").alias("top"), "file_path", "start_line", "end_line"), "top").join(files.select("file_path", F.col("content").alias("whole")), "file_path")
+    at = tops.join(chunks.select(F.col("chunk_id").alias("top"), "file_path", "start_line", "end_line"),
+        "top").join(files.select("file_path", F.col("content").alias("whole")), "file_path")
     lines = lines_of(F.col("whole"))
     first, last = F.greatest(F.col("start_line") - around, F.lit(1)), F.least(F.col("end_line") + around, F.size(lines))
     span = F.array_join(F.slice(lines, first, last - first + 1), "\n")
@@ -152,7 +157,8 @@ def rag_tokens(index: Index, queries: DataFrame, files: DataFrame, k: int, **sea
     once = cut(payload_tokens(queries.queries, wide.where(F.col("rank") <= k), index.chunks, k))
     more = queries.queries.join(once.where("need_more"), "query_id", "left_semi")
     again = cut(payload_tokens(more, wide.join(more, "query_id", "left_semi"), index.chunks, 2 * k))
-    tops = again.select("query_id", F.col("tokens").alias("more"), F.col("top").alias("second")).join(once.select("query_id", F.col("top").alias("first")), "query_id")
+    tops = again.select("query_id", F.col("tokens").alias("more"),
+        F.col("top").alias("second")).join(once.select("query_id", F.col("top").alias("first")), "query_id")
     spans = span_tokens(tops.select("query_id", F.coalesce("second", "first").alias("top")), index.chunks, files)
     both = once.join(tops.select("query_id", "more"), "query_id", "left").join(spans.withColumnRenamed("tokens", "span"), "query_id", "left")
     return both.select("query_id", (F.col("tokens") + F.coalesce("more", F.lit(0)) + F.coalesce("span", F.lit(0))).alias("rag"), "need_more")

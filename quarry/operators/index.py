@@ -24,8 +24,10 @@ POINTS = {"symbol_name": 3, "file_path": 1, "signature": 2, "doc": 1, "content":
 
 def field_idents(chunks: DataFrame) -> DataFrame:
     """``chunk_id, ident, weight, points``: each identifier of a chunk with the weights of its occurrences summed, and its best field's points."""
-    parts = F.array(*(F.struct(F.lit(w).alias("weight"), F.lit(POINTS[f]).alias("points"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f, w in FIELDS.items()))
-    words = chunks.select("chunk_id", parts.alias("parts")).repartition("chunk_id").select("chunk_id", F.explode("parts").alias("p")).select("chunk_id", "p.weight", "p.points", F.explode(idents(F.col("p.text"))).alias("ident"))
+    parts = F.array(*(F.struct(F.lit(w).alias("weight"), F.lit(POINTS[f]).alias("points"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f,
+        w in FIELDS.items()))
+    words = chunks.select("chunk_id", parts.alias("parts")).repartition("chunk_id").select("chunk_id",
+        F.explode("parts").alias("p")).select("chunk_id", "p.weight", "p.points", F.explode(idents(F.col("p.text"))).alias("ident"))
     return words.groupBy("chunk_id", "ident").agg(F.sum("weight").alias("weight"), F.max("points").alias("points"))
 
 
@@ -53,7 +55,8 @@ def doc_stats(post: DataFrame) -> DataFrame:
 def corpus_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """One row: ``n_chunks, avgdl``; a chunk without tokens counts with length 0."""
     total = docs.agg(F.coalesce(F.sum("dlen"), F.lit(0)).alias("total"))
-    return chunks.agg(F.count("*").alias("n_chunks")).join(F.broadcast(total), F.lit(True)).select("n_chunks", F.when(F.col("n_chunks") > 0, F.col("total") / F.col("n_chunks")).otherwise(F.lit(0.0)).alias("avgdl"))
+    return chunks.agg(F.count("*").alias("n_chunks")).join(F.broadcast(total), F.lit(True)).select("n_chunks",
+        F.when(F.col("n_chunks") > 0, F.col("total") / F.col("n_chunks")).otherwise(F.lit(0.0)).alias("avgdl"))
 
 
 def idf(n: str = "n_chunks", df: str = "df"):

@@ -54,13 +54,15 @@ def compact(value: object) -> str:
 
 def score_state(query: str, chunk: Mapping) -> str:
     """What a model is asked to score."""
-    shown = {k: chunk[c] for k, c in (("file", "file_path"), ("symbol", "symbol_name"), ("kind", "kind"), ("language", "language"), ("signature", "signature"), ("doc", "doc"))}
+    shown = {k: chunk[c] for k, c in (("file", "file_path"), ("symbol", "symbol_name"), ("kind", "kind"), ("language", "language"),
+        ("signature", "signature"), ("doc", "doc"))}
     return compact({"query": query, "chunk": shown | {"content": chunk["content"][:CONTENT_CHARS]}})
 
 
 def gate_state(query: str, chunks: Sequence[Mapping]) -> str:
     """What a model is asked to find sufficient."""
-    shown = [{"file": c["file_path"], "symbol": c["symbol_name"], "signature": c["signature"], "doc": c["doc"][:GATE_DOC_CHARS], "content": c["content"][:GATE_CONTENT_CHARS]} for c in chunks[:GATE_CHUNKS]]
+    shown = [{"file": c["file_path"], "symbol": c["symbol_name"], "signature": c["signature"], "doc": c["doc"][:GATE_DOC_CHARS],
+        "content": c["content"][:GATE_CONTENT_CHARS]} for c in chunks[:GATE_CHUNKS]]
     return compact({"query": query, "results": shown})
 
 

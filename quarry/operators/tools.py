@@ -28,14 +28,16 @@ def all_references(files: DataFrame, name: str) -> DataFrame:
     """``file_path, line, text`` of every line that names a symbol outside literals and comments."""
     lines = files.select("file_path", "language", F.posexplode(lines_of(F.col("content"))).alias("pos", "text"))
     bare = strip_code(F.col("text"), F.col("language"))
-    return lines.where(F.contains("text", F.lit(name)) & bare.rlike(word_pattern(name))).select("file_path", (F.col("pos") + 1).alias("line"), F.trim("text").alias("text"))
+    return lines.where(F.contains("text", F.lit(name)) & bare.rlike(word_pattern(name))).select("file_path", (F.col("pos") + 1).alias("line"),
+        F.trim("text").alias("text"))
 
 
 def find_references(files: DataFrame, name: str, limit: int = MAX_REFERENCES) -> DataFrame:
     """The first references by file and line; ``truncated`` says whether there are more."""
     found = all_references(files, name).orderBy("file_path", "line").limit(limit + 1)
     place = W.orderBy("file_path", "line")  # limit + 1 rows at most
-    return found.select("*", F.row_number().over(place).alias("place"), (F.count("*").over(W.partitionBy()) > limit).alias("truncated")).where(F.col("place") <= limit).drop("place")
+    return found.select("*", F.row_number().over(place).alias("place"),
+        (F.count("*").over(W.partitionBy()) > limit).alias("truncated")).where(F.col("place") <= limit).drop("place")
 
 
 def read_span(files: DataFrame, first: Column, last: Column) -> DataFrame:

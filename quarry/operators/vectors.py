@@ -140,7 +140,8 @@ class Lists:
                 if batch.num_rows and probes:
                     near = np.argsort(-(matrix(batch.column(1)) @ sent.value.T), axis=1, kind="stable")[:, :probes]
                     where = pa.array(np.repeat(np.arange(batch.num_rows), probes))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(near.ravel().astype(np.int32))], ["query_id", "query_vec", "list"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where),
+                        pa.array(near.ravel().astype(np.int32))], ["query_id", "query_vec", "list"])
 
         asked = queries.where("query_vec IS NOT NULL").select("query_id", "query_vec").mapInArrow(aimed, f"query_id {kind}, query_vec array<float>, list int")
         asked = asked.join(self.parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
@@ -149,7 +150,8 @@ class Lists:
             if not mine.num_rows or not theirs.num_rows:
                 return pa.table({"query_id": theirs["query_id"].slice(0, 0), "chunk_id": mine["vec_id"].slice(0, 0), "score": pa.array([], pa.float64())})
             ids, vectors = mine["vec_id"].combine_chunks(), matrix(mine["embedding"])
-            tables = [best_of(ids, vectors, q["query_id"].combine_chunks(), matrix(q["query_vec"]), k) for q in (theirs.slice(a, BLOCK) for a in range(0, theirs.num_rows, BLOCK))]
+            tables = [best_of(ids, vectors, q["query_id"].combine_chunks(), matrix(q["query_vec"]),
+                k) for q in (theirs.slice(a, BLOCK) for a in range(0, theirs.num_rows, BLOCK))]
             return pa.concat_tables(tables)
 
         pairs = self.rows.groupBy("list", "part").cogroup(asked.groupBy("list", "part"))

@@ -21,14 +21,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown: a title, and short lines as headings of the depth of their first letter's number."""
     docs = files(spark, sf_dir)
-    lines = F.transform(lines_of(F.col("content")), lambda x: F.when(F.length(x).between(1, 60), F.concat(F.repeat(F.lit("#"), F.length(x) % 7), F.lit(" "), x)).otherwise(x))
+    lines = F.transform(lines_of(F.col("content")), lambda x: F.when(F.length(x).between(1, 60),
+        F.concat(F.repeat(F.lit("#"), F.length(x) % 7), F.lit(" "), x)).otherwise(x))
     return docs.select("file_path", F.concat(F.lit("# "), F.col("file_path"), F.lit("\n"), F.array_join(lines, "\n")).alias("content"))
 
 
 def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as settings: every short line names a section."""
     docs = files(spark, sf_dir)
-    lines = F.transform(lines_of(F.col("content")), lambda x: F.when(F.length(x).between(1, 60), F.concat(F.lit("["), F.translate(x, "[]", "()"), F.lit("]"))).otherwise(x))
+    lines = F.transform(lines_of(F.col("content")), lambda x: F.when(F.length(x).between(1, 60),
+        F.concat(F.lit("["), F.translate(x, "[]", "()"), F.lit("]"))).otherwise(x))
     return docs.select("file_path", F.array_join(lines, "\n").alias("content"))
 
 
@@ -36,7 +38,8 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Python: a function per line, with the line as its docstring."""
     docs = files(spark, sf_dir)
     bare = lambda x: F.translate(x, "\\\"'", "")
-    lines = F.transform(lines_of(F.col("content")), lambda x, i: F.concat(F.lit("def line_"), (i + 1).cast("string"), F.lit('():\n    """'), bare(x), F.lit('"""\n')))
+    lines = F.transform(lines_of(F.col("content")), lambda x, i: F.concat(F.lit("def line_"), (i + 1).cast("string"), F.lit('():\n    """'), bare(x),
+        F.lit('"""\n')))
     return docs.select(F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.array_join(lines, "\n").alias("content"))
 
 
@@ -95,4 +98,5 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select("event_id", "ts", F.col("event_type").alias("tool"), F.col("value").alias("latency_ms"), F.get_json_object("props", "$.k").cast("bigint").alias("response_bytes"))
+    return events.select("event_id", "ts", F.col("event_type").alias("tool"), F.col("value").alias("latency_ms"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("response_bytes"))

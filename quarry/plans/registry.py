@@ -122,7 +122,8 @@ def rrf_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(O.FULL + " SELECT query_id, chunk_id, round(relevance, 6) AS relevance FROM relevance")
 def heuristic_score(spark: SparkSession, d: str) -> DataFrame:
     index, queries = corpus.index(spark, d), corpus.queries(spark, d)
-    return scoring.heuristic_scores(index, queries, cut(scoring.hybrid(index, queries, scoring.POOL))).select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
+    return scoring.heuristic_scores(index, queries, cut(scoring.hybrid(index, queries, scoring.POOL))).select("query_id", "chunk_id",
+        F.round("relevance", 6).alias("relevance"))
 
 
 @query(O.FULL + " " + O.SHOW + O.reranked(1.0, K))
@@ -173,20 +174,24 @@ _HEADED = O.changed_lines(f"CASE WHEN {O.SHORT} THEN repeat('#', length(x) % 7)
 _HEADING = r"^(#{1,6})[\t\n\f\r ]+(.+)$"
 
 
-@query(O.boundaries(_HEADED, "file_path", "'# ' || file_path || chr(10) || text", _HEADING, rf"trim(regexp_extract(line, '{_HEADING}', 2))", rf"'h' || length(regexp_extract(line, '{_HEADING}', 1))"))
+@query(O.boundaries(_HEADED, "file_path", "'# ' || file_path || chr(10) || text", _HEADING, rf"trim(regexp_extract(line, '{_HEADING}', 2))",
+    rf"'h' || length(regexp_extract(line, '{_HEADING}', 1))"))
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.markdown_chunks(corpus.headed(spark, d))
 
 
-@query(O.boundaries(O.changed_lines(f"CASE WHEN {O.SHORT} THEN '[' || translate(x, '[]', '()') || ']' ELSE x END"), "file_path", "text", r"^\[\[*([^\]]+)\]\]?", r"trim(regexp_extract(line, '^\[\[*([^\]]+)\]\]?', 1))", "'section'"))
+@query(O.boundaries(O.changed_lines(f"CASE WHEN {O.SHORT} THEN '[' || translate(x, '[]', '()') || ']' ELSE x END"), "file_path", "text",
+    r"^\[\[*([^\]]+)\]\]?", r"trim(regexp_extract(line, '^\[\[*([^\]]+)\]\]?', 1))", "'section'"))
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.section_chunks(corpus.sectioned(spark, d))
 
 
-@query(O.boundaries("pages", "'page_' || page_id || '.html'", "html", r"(?i)<(?:h[1-6]|section|article|script|style|div)(?:[\t\n\f\r ]|>|/)", "'block@' || start_line", "'block'"))
+@query(O.boundaries("pages", "'page_' || page_id || '.html'", "html", r"(?i)<(?:h[1-6]|section|article|script|style|div)(?:[\t\n\f\r ]|>|/)",
+    "'block@' || start_line", "'block'"))
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    return chunkers.html_blocks(pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.coalesce("html", F.lit("")).alias("content")))
+    return chunkers.html_blocks(pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"),
+        F.coalesce("html", F.lit("")).alias("content")))
 
 
 @query(
@@ -299,7 +304,8 @@ def manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     files = corpus.files(spark, d)
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
     old = files.join(labels, "doc_id").withColumn("content", F.when(F.col("quality") == 0, F.concat(F.lit("old:"), "content")).otherwise(F.col("content")))
-    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.coalesce("html", F.lit("")).alias("content"))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"),
+        F.lit(".html")).alias("file_path"), F.coalesce("html", F.lit("")).alias("content"))
     return tools.manifest(files), tools.manifest(old).unionByName(tools.manifest(pages))
 
 
@@ -319,7 +325,8 @@ def incremental_plan(spark: SparkSession, d: str) -> DataFrame:
 def run_stats(spark: SparkSession, d: str) -> DataFrame:
     plan = tools.plan_update(*manifests(spark, d))
     is_ = lambda a: F.count_if(F.col("action") == a)
-    return plan.agg(F.count_if(F.col("action") != "remove").alias("files"), is_("keep").alias("kept"), is_("reindex").alias("reindexed"), is_("remove").alias("removed"))
+    return plan.agg(F.count_if(F.col("action") != "remove").alias("files"), is_("keep").alias("kept"), is_("reindex").alias("reindexed"),
+        is_("remove").alias("removed"))
 
 
 @query(f"WITH {_BEFORE} SELECT file_path, hash FROM before WHERE file_path NOT IN (SELECT file_path FROM now)")
@@ -364,7 +371,8 @@ def project_resolve(spark: SparkSession, d: str) -> DataFrame:
     names = docs.select("source").distinct().select(F.col("source").alias("name"), F.concat(F.lit("/srv/"), "source").alias("path"))
     projects = names.withColumn("pos", F.row_number().over(W.orderBy("name")))  # a row per source
     way = F.pmod("doc_id", F.lit(4))
-    spelled = F.when(way == 0, F.col("source")).when(way == 1, F.concat(F.lit(" "), F.upper("source"), F.lit(" "))).when(way == 2, F.concat(F.lit("/srv/"), "source", F.lit("/"))).otherwise(F.concat("source", F.lit("-unknown")))
+    spelled = F.when(way == 0, F.col("source")).when(way == 1, F.concat(F.lit(" "), F.upper("source"), F.lit(" "))).when(way == 2,
+        F.concat(F.lit("/srv/"), "source", F.lit("/"))).otherwise(F.concat("source", F.lit("-unknown")))
     asked = docs.select(spelled.alias("asked")).union(spark.createDataFrame([("",), ("  ",)], "asked string")).distinct()
     return tools.resolve_projects(projects, asked, "nobody")
 

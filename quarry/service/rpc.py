@@ -44,7 +44,8 @@ class Service:
     what has changed; else they are built anew. ``scorer`` may be another than the
     heuristic one (see ``scoring.rerank``)."""
 
-    def __init__(self, spark: SparkSession, projects: list[tuple[str, str]], load: Callable[[str], DataFrame], default: str = "", log: TextIO | None = None, store: Store | None = None, scorer=scoring.heuristic_scores):
+    def __init__(self, spark: SparkSession, projects: list[tuple[str, str]], load: Callable[[str], DataFrame], default: str = "",
+        log: TextIO | None = None, store: Store | None = None, scorer=scoring.heuristic_scores):
         self.spark, self.load, self.default, self.log, self.store, self.scorer = spark, load, default, log, store, scorer
         self.projects = [Project(*p) for p in projects]
         self.built: dict[str, tuple[DataFrame, index.Index]] = {}
@@ -94,7 +95,8 @@ class Service:
         k = top_k if 0 < top_k <= scoring.MOST else scoring.DEFAULT_K
         self.tables(project)
         # Fused scores are on another scale, so the plain answer isn't cut off.
-        (results, gate, n_raw), why = self.reranker.run(lambda: self.hits(query, "hybrid+rerank", k, project, True), lambda: self.hits(query, "hybrid", k, project, False))
+        (results, gate, n_raw), why = self.reranker.run(lambda: self.hits(query, "hybrid+rerank", k, project, True),
+            lambda: self.hits(query, "hybrid", k, project, False))
         answer = {"query": query, "results": results} | gate
         more = n_raw == k or len(results) < n_raw
         return answer | ({"more_available": True} if more else {}) | ({"degraded": why} if why else {})
@@ -137,7 +139,8 @@ class Service:
         except Exception as error:  # noqa: BLE001  a tool's failure is its answer
             text, failed = str(error).splitlines()[0] if str(error) else type(error).__name__, True
         if self.log:
-            entry = {"ts": datetime.now(UTC).isoformat(), "tool": name, "args": json.dumps(arguments, ensure_ascii=False), "latency_ms": int(1000 * (time.monotonic() - began)), "response_bytes": len(text.encode())}
+            entry = {"ts": datetime.now(UTC).isoformat(), "tool": name, "args": json.dumps(arguments, ensure_ascii=False),
+                "latency_ms": int(1000 * (time.monotonic() - began)), "response_bytes": len(text.encode())}
             print(json.dumps(entry, ensure_ascii=False), file=self.log, flush=True)
         return {"content": [{"type": "text", "text": text}]} | ({"isError": True} if failed else {})
 
@@ -156,7 +159,8 @@ class Service:
         if method == "initialize":
             result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "quarry", "version": VERSION}}
         elif method == "tools/list":
-            result = {"tools": [{"name": n, "inputSchema": {"type": "object", "properties": {a: {"type": t} for a, (t, _) in args.items()}, "required": [a for a, (_, needed) in args.items() if needed]}} for n, args in TOOLS.items()]}
+            result = {"tools": [{"name": n, "inputSchema": {"type": "object", "properties": {a: {"type": t} for a, (t, _) in args.items()},
+                "required": [a for a, (_, needed) in args.items() if needed]}} for n, args in TOOLS.items()]}
         elif method == "tools/call":
             name, arguments = params.get("name"), params.get("arguments") or {}
             if name not in TOOLS or not set(arguments) <= set(TOOLS[name]):

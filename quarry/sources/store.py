@@ -103,7 +103,8 @@ class Store:
         """Replaces all that a project has; others stay."""
         self._publish(project, chunks.select(*_names(registry.SCHEMA)), files.select(*_names(FILES_SCHEMA)), version)
 
-    def update(self, project: str, files: DataFrame, version: int = registry.VERSION, abort: Callable[[], bool] = lambda: False, log: Callable[[str], None] = lambda line: None, commit: int = COMMIT_FILES) -> Stats:
+    def update(self, project: str, files: DataFrame, version: int = registry.VERSION, abort: Callable[[], bool] = lambda: False,
+        log: Callable[[str], None] = lambda line: None, commit: int = COMMIT_FILES) -> Stats:
         """Chunks only files (``file_path, hash, content``) that are new or changed, keeps the
         chunks of the others, and leaves out what has vanished. A table that another
         version of the chunkers made is not kept from. ``abort`` is asked before each batch."""
@@ -174,7 +175,8 @@ def read_json_index(spark: SparkSession, path: str) -> tuple[dict, DataFrame, Da
     whole = spark.read.schema(LEGACY_JSON).option("multiLine", "true").json(path)
     meta = whole.select("project_root", "chunker_version").first().asDict()
     empty = F.lit("")
-    chunks = whole.select(F.inline("chunks")).withColumnRenamed("id", "chunk_id").select(*(F.coalesce(c, empty).alias(c) if c in ("signature", "doc") else F.col(c) for c in _names(registry.SCHEMA)))
+    chunks = whole.select(F.inline("chunks")).withColumnRenamed("id",
+        "chunk_id").select(*(F.coalesce(c, empty).alias(c) if c in ("signature", "doc") else F.col(c) for c in _names(registry.SCHEMA)))
     return meta, chunks, whole.select(F.explode("manifest").alias("file_path", "hash"))
 
 

@@ -100,8 +100,10 @@ def source_files(spark: SparkSession, root: str, rules: list[str] | None = None,
     suffixes = "|".join(re.escape(s) for s in FINDERS)
     skip = "|".join(re.escape(s) for s in SKIPPED)
     path = F.col("file_path")
-    kept = [x.where((F.col("length") <= max_bytes) & path.rlike(f"(?i)({suffixes})$") & ~path.rlike(f"(^|/)({skip})/") & ~ignored(path, rules)) for x in (seen, passed_over(spark, root, max_bytes))]
-    return kept[0].unionByName(kept[1]).select("file_path", language_column(path).alias("language"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("hash"), F.col("content").cast("string").alias("content"))
+    kept = [x.where((F.col("length") <= max_bytes) & path.rlike(f"(?i)({suffixes})$") & ~path.rlike(f"(^|/)({skip})/") & ~ignored(path,
+        rules)) for x in (seen, passed_over(spark, root, max_bytes))]
+    return kept[0].unionByName(kept[1]).select("file_path", language_column(path).alias("language"), F.col("length").alias("n_bytes"),
+        F.sha2("content", 256).alias("hash"), F.col("content").cast("string").alias("content"))
 
 
 def listing(files: DataFrame) -> DataFrame:
