@@ -82,5 +82,9 @@ def bench(built: index.Index, questions, files, k: int) -> dict:
     return {"tasks": [r.asDict() for r in rows.orderBy("query_id").collect()], **evaluate.mean_median(rows).first().asDict()}  # a row per question
 
 
-if __name__ == "__main__":
+def run() -> None:
     sys.exit(main(sys.argv[1:]))
+
+
+if __name__ == "__main__":
+    run()

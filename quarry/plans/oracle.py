@@ -79,13 +79,13 @@ item_idents AS (
          unnest(range(len({IDENT.format("coalesce(text, '')")}))) AS pos FROM benchmark),
 all_idents AS (SELECT ident FROM field_idents UNION SELECT ident FROM item_idents)"""
 
-INDEX = f"""
-WITH RECURSIVE {CHUNKS}, {FIELDS}, {folded("all_idents")},
+TABLES = f""", {folded("all_idents")},
 field_tokens AS (SELECT f.chunk_id, f.field, f.weight, unnest(t.toks) AS term FROM field_idents f JOIN tokens_of t USING (ident)),
 postings AS (SELECT chunk_id, term, CAST(sum(weight) AS BIGINT) AS tf FROM field_tokens GROUP BY ALL),
 docs AS (SELECT chunk_id, CAST(sum(tf) AS BIGINT) AS dlen FROM postings GROUP BY ALL),
 corpus AS (SELECT (SELECT count(*) FROM chunks) AS n_chunks, CASE WHEN (SELECT count(*) FROM chunks) > 0 THEN coalesce(sum(tf), 0)::DOUBLE / (SELECT count(*) FROM chunks) ELSE 0 END AS avgdl FROM postings),
 terms AS (SELECT term, count(*) AS df, ln(1 + (any_value(n_chunks) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, corpus GROUP BY term)"""
+INDEX = f"WITH RECURSIVE {CHUNKS}, {FIELDS}" + TABLES
 
 _LEX = "CASE t[i + 1] " + " ".join(f"WHEN {_q(k)} THEN [{', '.join(map(_q, v))}]" for k, v in LEXICON.items()) + " ELSE []::VARCHAR[] END"
 
@@ -154,6 +154,20 @@ LINES = "string_split(replace({0}, chr(13) || chr(10), chr(10)), chr(10))"
 
 SHORT = "length(x) BETWEEN 1 AND 60"
 
+# Documents as Python files, chunked: a function per line with the line as its docstring.
+BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+PROGRAMS = f"""
+program_lines AS (SELECT 'src/doc_' || doc_id || '.py' AS file_path, {LINES.format("coalesce(text, '')")} AS l FROM documents),
+functions AS (
+  SELECT file_path, unnest(list_transform(l, lambda x: replace(replace(replace(x, chr(92), ''), '"', ''), chr(39), ''))) AS x, unnest(range(1, len(l) + 1)) AS i
+  FROM program_lines),
+chunks AS (
+  SELECT file_path || ':' || (3 * i - 2) || ':line_' || i AS chunk_id, file_path, 'python' AS language, CAST(3 * i - 2 AS INTEGER) AS start_line,
+         CAST(3 * i AS INTEGER) AS end_line, 'line_' || i AS symbol_name, 'func' AS kind, 'def line_' || i || '()' AS signature,
+         regexp_replace(x, '^{BLANK}|{BLANK}$', '', 'g') AS doc, 'def line_' || i || '():' || chr(10) || '    \"\"\"' || x || '\"\"\"' || chr(10) AS content
+  FROM functions)"""
+CODE_INDEX = f"WITH RECURSIVE {PROGRAMS}, {FIELDS.replace('symbol_name FROM chunks', 'signature FROM chunks UNION ALL SELECT chunk_id, ' + chr(39) + 'doc' + chr(39) + ', 1, doc FROM chunks')}" + TABLES
+
 
 def changed_lines(how: str) -> str:
     """Documents whose lines x (numbered i from 1) are changed."""

@@ -194,19 +194,18 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce("html", F.lit("")).alias("content")))
 
 
-@query(
-    "WITH p AS (SELECT 'src/doc_' || doc_id || '.py' AS file_path, " + O.LINES.format("coalesce(text, '')") + " AS l FROM documents), "
-    "f AS (SELECT file_path, unnest(list_transform(l, lambda x: replace(replace(replace(x, chr(92), ''), '\"', ''), chr(39), ''))) AS x, "
-    "unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM p) "
-    "SELECT file_path || ':' || (3 * i - 2) || ':line_' || i AS chunk_id, file_path, 'python' AS language, CAST(3 * i - 2 AS INTEGER) AS "
-    "start_line, CAST(3 * i AS INTEGER) AS end_line, 'line_' || i AS symbol_name, "
-    "'func' AS kind, 'def line_' || i || '()' AS signature, regexp_replace(x, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', "
-    "'', 'g') AS doc FROM f"
-)
+@query(f"WITH {O.PROGRAMS} SELECT * EXCLUDE (content) FROM chunks")
 def chunk_code_files(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.chunk_files(corpus.programs(spark, d)).drop("content", "hash")
 
 
+@query(O.CODE_INDEX + O.QTERMS + O.BM25 + " " + O.SHOW + O.top("bm25", 10))
+def code_search_topk(spark: SparkSession, d: str) -> DataFrame:
+    """From files to chunks to an index to hits."""
+    index = ix.build(cut(chunkers.chunk_files(corpus.programs(spark, d))), cut)
+    return shown(scoring.search(index, corpus.queries(spark, d), "fts", 10))
+
+
 # Vectors
 
 _VEC = "(SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label, q.label AS query_label, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)"
