@@ -18,7 +18,8 @@ two unequal windows agree with probability 0.002.
 
 Defined cases: null or empty text has no words and stays empty; a document under 35 words
 has no window; a very long text is one document of its slice; repeated rows repeat each
-other's windows, the same ``doc_id`` or not (rows alike in id and text lie in one slice);
+other's windows, the same ``doc_id`` or not (rows alike in id and text lie in one slice
+for each block of a file, and in one if the table isn't read from files);
 a null ``doc_id`` is a document like any other; an empty table gives no rows; columns
 other than ``doc_id`` and ``text`` are left out, whatever their names.
 """

@@ -60,6 +60,17 @@ def test_second_hashes_are_independent():
     assert a.second[0] == a.second[3] == b.second[1] and len({*a.hashes.tolist(), *a.second.tolist()}) == 6
 
 
+def test_rows_alike_are_dealt_by_block(spark, tmp_path):
+    rows = spark.range(400).selectExpr("cast(null as long) AS doc_id", "repeat('one and the same ', 20) AS text")
+    rows.repartition(20).write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    assert X.deal(docs, X.Plan.of(spark, 10**6, 10**5), "doc_id", "text").select("slice").distinct().count() > 10
+    got = S.remove_repeats(docs)
+    assert {(r["n_words"], r["n_removed"], r["text"]) for r in got.collect()} == {(80, 80, "")} and got.count() == 400
+    # Texts are shuffled once for all three steps.
+    assert got._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2
+
+
 def test_plan_grows_within_bounds(spark):
     for size in (0, 10**9, 3 * 10**10, 10**12, 10**14):
         plan = X.Plan.of(spark, size, size // 24)
