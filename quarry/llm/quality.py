@@ -116,8 +116,8 @@ def references(measured: DataFrame, min_chars: int = MIN_CHARS, min_words: int =
     of = F.col("lang").alias("of")
     widths = {"classes": len(CLASSES) + 2, "commons": len(COMMON_WORDS) + 1}
     flat = full.select(of, *((F.round(q[h][i] * GRID) / GRID).alias(f"{h}{i}") for h, n in widths.items() for i in range(n)))
-    middle = flat.groupBy("of").agg(F.count("*").alias("n"), *(F.percentile(f"{h}{i}", 0.5).alias(f"{h}{i}") for h,
-        n in widths.items() for i in range(n))).where(F.col("n") >= min_docs)
+    medians = [F.percentile(f"{h}{i}", 0.5).alias(f"{h}{i}") for h, n in widths.items() for i in range(n)]
+    middle = flat.groupBy("of").agg(F.count("*").alias("n"), *medians).where(F.col("n") >= min_docs)
     even = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda t, y: t + y))
     return middle.select("of", *(even(F.array(*(f"{h}{i}" for i in range(n)))).alias(f"ref_{h}") for h, n in widths.items()))
 
