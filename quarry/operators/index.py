@@ -24,10 +24,10 @@ POINTS = {"symbol_name": 3, "file_path": 1, "signature": 2, "doc": 1, "content":
 
 def field_idents(chunks: DataFrame) -> DataFrame:
     """``chunk_id, ident, weight, points``: each identifier of a chunk with the weights of its occurrences summed, and its best field's points."""
-    parts = F.array(*(F.struct(F.lit(w).alias("weight"), F.lit(POINTS[f]).alias("points"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f,
-        w in FIELDS.items()))
-    words = chunks.select("chunk_id", parts.alias("parts")).repartition("chunk_id").select("chunk_id",
-        F.explode("parts").alias("p")).select("chunk_id", "p.weight", "p.points", F.explode(idents(F.col("p.text"))).alias("ident"))
+    text = lambda f: F.coalesce(F.col(f), F.lit("")).alias("text")
+    parts = F.array(*(F.struct(F.lit(w).alias("weight"), F.lit(POINTS[f]).alias("points"), text(f)) for f, w in FIELDS.items()))
+    dealt = chunks.select("chunk_id", parts.alias("parts")).repartition("chunk_id").select("chunk_id", F.explode("parts").alias("p"))
+    words = dealt.select("chunk_id", "p.weight", "p.points", F.explode(idents(F.col("p.text"))).alias("ident"))
     return words.groupBy("chunk_id", "ident").agg(F.sum("weight").alias("weight"), F.max("points").alias("points"))
 
 

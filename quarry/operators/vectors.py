@@ -150,9 +150,8 @@ class Lists:
             if not mine.num_rows or not theirs.num_rows:
                 return pa.table({"query_id": theirs["query_id"].slice(0, 0), "chunk_id": mine["vec_id"].slice(0, 0), "score": pa.array([], pa.float64())})
             ids, vectors = mine["vec_id"].combine_chunks(), matrix(mine["embedding"])
-            tables = [best_of(ids, vectors, q["query_id"].combine_chunks(), matrix(q["query_vec"]),
-                k) for q in (theirs.slice(a, BLOCK) for a in range(0, theirs.num_rows, BLOCK))]
-            return pa.concat_tables(tables)
+            blocks = (theirs.slice(a, BLOCK) for a in range(0, theirs.num_rows, BLOCK))
+            return pa.concat_tables(best_of(ids, vectors, q["query_id"].combine_chunks(), matrix(q["query_vec"]), k) for q in blocks)
 
         pairs = self.rows.groupBy("list", "part").cogroup(asked.groupBy("list", "part"))
         return ranked(pairs.applyInArrow(scored, _schema(self.rows, queries)), k)
