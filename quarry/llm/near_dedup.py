@@ -12,14 +12,12 @@
    keys are cut into blocks by rows and by shingles, so a task's share is bounded; pairs
    are compared inside tasks, only between sets of sizes that can be similar, and only
    links leave them (a union-find drops those that join nothing). A key that would take
-   more than ``HOT_PAIRS`` comparisons is cut into sub-keys by a second band first.
-
-So classes that share a key are in one component, or have been compared, or are joined
-by neither: no link between candidates is lost, and none is made without a full
-comparison. In a key of more than ``HOT_PAIRS`` candidates are the classes that share two
-bands; two sets of similarity 0.85 share fewer than two with probability 5e-6 (of 0.8:
-5e-4), and by one of their other keys they are compared all the same unless all that they
-share are that hot. All joins are on keys that partial aggregates or blocks have thinned,
+   more than ``HOT_PAIRS`` comparisons is cut into sub-keys by a second band first, which
+   joins nearly all that is alike in it; then, under the labels that this gives, the key
+   itself is finished like the others, whatever that takes.
+
+So classes that share a key are in one component, or have been compared: no link between
+candidates is lost, and none is made without a full comparison. All joins are on keys that partial aggregates or blocks have thinned,
 or are sort-merge joins of written tables, which adaptive execution splits.
 
 Defined cases: null or empty text has an empty set and is linked with nothing; a text of
@@ -51,7 +49,7 @@ BANDS, ROWS = 26, 5
 SHINGLE, PERCENT = 5, 80
 #: Classes of a key that are compared in one block, their shingles, and the rounds after which label propagation must have ended.
 BLOCK, WEIGHT, MAX_ROUNDS = 128, 100_000, 64
-#: Comparisons from which a key is cut by a second band.
+#: Comparisons from which a key is cut by a second band before it is finished.
 HOT_PAIRS = 4_000_000
 
 SKETCH = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -203,11 +201,8 @@ def _several(known: DataFrame) -> DataFrame:
         (F.col("weight") - F.col("main.w")).alias("out_weight"))
 
 
-def _split_hot(known: DataFrame, keys: DataFrame, pairs: int) -> DataFrame:
-    """``known`` with sub-keys of two bands in place of the keys that take more comparisons than ``pairs``."""
-    hot = cut(keys.where(F.col("out") * F.col("rows") > pairs).select("key"))
-    if not hot.limit(1).count():
-        return known
+def _split_hot(known: DataFrame, hot: DataFrame) -> DataFrame:
+    """``known`` with sub-keys of two bands in place of the ``hot`` keys."""
     inside = known.join(hot, "key", "left_semi")
     second = known.select("id", F.col("key").alias("second"))
     both = inside.join(second, "id").where("key != second")
@@ -215,10 +210,21 @@ def _split_hot(known: DataFrame, keys: DataFrame, pairs: int) -> DataFrame:
     return cut(known.join(hot, "key", "left_anti").unionByName(sub.select(*known.columns)))
 
 
-def _left_over(shared: DataFrame, labels: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """Units for keys that hold several components still."""
-    known = cut(shared.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label")))
-    known = _split_hot(known, _several(known), hot_pairs)
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    return cut(shared.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label")))
+
+
+def _left_over(shared: DataFrame, labels: DataFrame, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame | None]:
+    """Units for keys that hold several components still; and the keys that only their sub-keys stand for there, if there are any."""
+    known = _labelled(shared, labels)
+    hot = cut(_several(known).where(F.col("out") * F.col("rows") > hot_pairs).select("key"))
+    if not hot.limit(1).count():
+        return _units(known), None
+    return _units(_split_hot(known, hot)), hot
+
+
+def _units(known: DataFrame) -> DataFrame:
+    """Units that finish the keys of ``known``."""
     # Keys with the same classes (several bands agree on a group) are finished once.
     keys = cut(_several(known).groupBy("rows", "weight", "same", "main", "out", "out_weight", "least").agg(F.min("key").alias("key")))
     # Small keys of a component share a unit, for they share texts too.
@@ -252,9 +258,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = cut(source.join(wanted, ["id", "of_text"]).dropDuplicates(["id"]).select("id", "text"))
     links = cut(verified(_around_leaders(shared), texts, shingle, percent))
     labels = components(links)
-    rest = cut(verified(_left_over(shared, labels), texts, shingle, percent))
+    units, hot = _left_over(shared, labels)
+    rest = cut(verified(units, texts, shingle, percent))
     if rest.limit(1).count():
-        labels = components(links.unionByName(rest))
+        links = links.unionByName(rest)
+        labels = components(links)
+    if hot is not None:
+        # What shares a hot key and no other one has met in no sub-key.
+        last = cut(verified(_units(_labelled(shared.join(hot, "key", "left_semi"), labels)), texts, shingle, percent))
+        if last.limit(1).count():
+            labels = components(links.unionByName(last))
     named = cut(classes.join(labels, "id", "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component")))
     drop(classes, shared, texts, links, rest)
     # Empty sets are all alike, and never linked: they stay out of the join.

@@ -73,6 +73,25 @@ def test_hot_keys(spark, monkeypatch):
         assert found(docs, 3, 85) == wanted
 
 
+def test_hot_keys_that_share_one_band(spark, monkeypatch):
+    """With a single band no class of a hot key has a second one, and the key is finished all the same."""
+    r = random.Random(4)
+    rows = list(enumerate(family(r, 60, 120, 12)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(N, "BANDS", 1)
+    whole = found(docs, 3, 85)
+    keys = {x["doc_id"]: x["bands"][0] for x in N.sketch(docs, 3).collect()}
+    sets = {i: shingles(t, 3) for i, t in rows}
+    links = [(a, b) for a, b in combinations(sets, 2) if keys[a] == keys[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    wanted = {i: i for i in sets}
+    for _ in rows:
+        for a, b in links:
+            wanted[a] = wanted[b] = min(wanted[a], wanted[b])
+    assert whole == {i: (len(s), wanted[i]) for i, s in sets.items()}
+    monkeypatch.setattr(N._left_over, "__defaults__", (1,))
+    assert found(docs, 3, 85) == whole
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_given_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
