@@ -123,7 +123,8 @@ def payload_tokens(queries: DataFrame, hits: DataFrame, chunks: DataFrame, k: in
     costs, whether its hits suffice, and the first hit's chunk. Queries without hits answer too."""
     kept = cut(decide.filter_relevant(hits))
     raw = hits.groupBy("query_id").agg(F.count("*").alias("n_raw"))
-    shown = kept.join(chunks, "chunk_id").groupBy("query_id").agg(F.sum(hit_bytes()).alias("bytes"), F.count("*").alias("n"),
+    # Hits are a few per query and go to where the chunks are.
+    shown = chunks.join(F.broadcast(kept), "chunk_id").groupBy("query_id").agg(F.sum(hit_bytes()).alias("bytes"), F.count("*").alias("n"),
         F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("top"))
     gate = decide.noul(kept)
     all_ = queries.select("query_id", "query").join(raw, "query_id", "left").join(shown, "query_id", "left").join(gate, "query_id", "left")
@@ -137,8 +138,8 @@ def payload_tokens(queries: DataFrame, hits: DataFrame, chunks: DataFrame, k: in
 
 def span_tokens(tops: DataFrame, chunks: DataFrame, files: DataFrame, around: int = AROUND) -> DataFrame:
     """``query_id, tokens`` of reading a chunk (``top``) with lines around it."""
-    at = tops.join(chunks.select(F.col("chunk_id").alias("top"), "file_path", "start_line", "end_line"),
-        "top").join(files.select("file_path", F.col("content").alias("whole")), "file_path")
+    at = chunks.select(F.col("chunk_id").alias("top"), "file_path", "start_line", "end_line").join(F.broadcast(tops), "top")
+    at = files.select("file_path", F.col("content").alias("whole")).join(F.broadcast(at), "file_path")
     lines = lines_of(F.col("whole"))
     first, last = F.greatest(F.col("start_line") - around, F.lit(1)), F.least(F.col("end_line") + around, F.size(lines))
     span = F.array_join(F.slice(lines, first, last - first + 1), "\n")
