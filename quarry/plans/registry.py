@@ -202,7 +202,7 @@ def chunk_code_files(spark: SparkSession, d: str) -> DataFrame:
 @query(O.CODE_INDEX + O.QTERMS + O.BM25 + " " + O.SHOW + O.top("bm25", 10))
 def code_search_topk(spark: SparkSession, d: str) -> DataFrame:
     """From files to chunks to an index to hits."""
-    index = ix.build(cut(chunkers.chunk_files(corpus.programs(spark, d))), cut)
+    index = ix.build(chunkers.chunk_files(corpus.programs(spark, d)), cut)
     return shown(scoring.search(index, corpus.queries(spark, d), "fts", 10))
 
 
